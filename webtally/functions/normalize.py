@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # a high and a low surrogate escape, or one escape outside the surrogate range
 _UNICODE_UNIT = (
@@ -105,7 +105,7 @@ def join_string_literals(text: Column) -> Column:
     return F.when(pluses > 0, joined).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

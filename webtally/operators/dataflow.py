@@ -71,7 +71,7 @@ def flow_array(content: Column) -> Column:
     )
 
     def on_pattern(p: Column, lines: Column) -> Column:
-        hits = F.filter(lines, lambda x: x.getField("text").rlike(p.getField("rx")))
+        hits = F.filter(lines, lambda x: F.rlike(x.getField("text"), p.getField("rx")))
         return F.transform(
             hits,
             lambda x: F.struct(
@@ -80,7 +80,9 @@ def flow_array(content: Column) -> Column:
                 F.substring(x.getField("stripped"), 1, CONTEXT_CHARS).alias("context"),
                 F.when(
                     p.getField("hint") == 1,
-                    F.substring(strip(F.regexp_extract(x.getField("text"), p.getField("rx"), 1)), 1, HINT_CHARS),
+                    F.substring(
+                        strip(F.get(F.regexp_extract_all(x.getField("text"), p.getField("rx"), F.lit(1)), F.lit(0))), 1, HINT_CHARS
+                    ),
                 ).otherwise("").alias("data_flow_hint"),
             ),
         )

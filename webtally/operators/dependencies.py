@@ -27,21 +27,22 @@ _IMPORTS: list[LinePattern] = [LinePattern(code.DEPENDENCY_IMPORT, (1,), (("from
 
 def manifest_entries(content: Column) -> Column:
     """``array<struct<section, name, spec>>`` of a package manifest, in its order."""
-    ddl = ", ".join(f"{s} MAP<STRING, STRING>" for s in SECTIONS)
+    fields = ", ".join(f"{s}: MAP<STRING, STRING>" for s in SECTIONS)
+    # as the only element of an array, text after the object makes the value malformed
+    wrapped = F.from_json(F.concat(F.lit("["), content, F.lit("]")), f"ARRAY<STRUCT<{fields}>>")
 
     def entries(manifest: Column) -> Column:
-        per_section = [
-            F.transform(
-                F.coalesce(F.map_entries(manifest.getField(s)), F.array()),
-                lambda e, s=s: F.struct(
-                    F.lit(s).alias("section"), e.getField("key").alias("name"), e.getField("value").alias("spec")
+        def of_section(name: str) -> Column:
+            return F.transform(
+                F.coalesce(F.map_entries(manifest.getField(name)), F.array()),
+                lambda e: F.struct(
+                    F.lit(name).alias("section"), e.getField("key").alias("name"), e.getField("value").alias("spec")
                 ),
             )
-            for s in SECTIONS
-        ]
-        return F.concat(*per_section)
 
-    return let(F.from_json(content, ddl), entries)
+        return F.concat(*[of_section(s) for s in SECTIONS])
+
+    return let(F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0))), entries)
 
 
 def load_manifests(files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..catalog import code
 from ..catalog.paths import FRAMEWORK_MARKERS, SENSITIVE_PATHS
@@ -278,7 +278,15 @@ class _TextLengths(HTMLParser):
         }
 
 
-@F.pandas_udf("has_body boolean, min_root int, body_chars int, noscript_hint boolean")
+_LENGTHS = T.StructType(
+    [
+        T.StructField("has_body", T.BooleanType()), T.StructField("min_root", T.IntegerType()),
+        T.StructField("body_chars", T.IntegerType()), T.StructField("noscript_hint", T.BooleanType()),
+    ]
+)
+
+
+@F.pandas_udf(_LENGTHS)
 def text_lengths(html: pd.Series) -> pd.DataFrame:
     rows = []
     for text in html:

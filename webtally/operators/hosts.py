@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import urls
 from ..functions.patterns import constant
@@ -63,7 +63,7 @@ def ipv4_text(number: Column) -> Column:
     return F.concat_ws(".", *octets)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _ipv6_reason(hosts: pd.Series) -> pd.Series:
     def reason(host: str | None) -> str | None:
         if host is None:

@@ -10,11 +10,11 @@ from ..schema import RESPONSE_BODY
 def parse_responses(raw: DataFrame) -> DataFrame:
     """Outermost ``{…}`` of each response as a struct; text without one is a plain summary (L3)."""
     candidate = F.regexp_extract("raw", r"(?s)(\{.*\})", 1)
-    body = F.from_json(
-        F.when(candidate != "", candidate), RESPONSE_BODY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    )
-    parsed = raw.withColumn("_body", body)
-    ok = F.col("_body").isNotNull() & F.col("_body._corrupt").isNull()
+    # as the only element of an array, text after the object makes the value malformed
+    wrapped = F.from_json(F.concat(F.lit("["), F.nullif(candidate, F.lit("")), F.lit("]")), f"ARRAY<STRUCT<{RESPONSE_BODY}>>")
+    parsed = raw.withColumn("_all", wrapped)
+    ok = F.coalesce(F.size("_all") == 1, F.lit(False)) & F.get("_all", F.lit(0)).isNotNull()
+    parsed = parsed.withColumn("_body", F.get("_all", F.lit(0)))
     return parsed.select(
         "asset_id", "url", "file_type",
         F.when(ok, F.col("_body")).alias("body"),

@@ -31,10 +31,10 @@ AUTH_ATTEMPTS = "ts TIMESTAMP, ip STRING, username STRING, success BOOLEAN"
 USER_REQUESTS = "ts TIMESTAMP, user_id BIGINT"
 RESPONSES = "asset_id BIGINT, url STRING, file_type STRING, raw STRING"
 RESPONSE_BODY = (
-    "findings ARRAY<STRUCT<severity: STRING, category: STRING, description: STRING, evidence: STRING, "
+    "findings: ARRAY<STRUCT<severity: STRING, category: STRING, description: STRING, evidence: STRING, "
     "impact: STRING, recommendation: STRING>>, "
-    "data_flow_confirmed ARRAY<STRUCT<source: STRING, sink: STRING, exploitable: BOOLEAN, explanation: STRING>>, "
-    "api_endpoints ARRAY<STRING>, summary STRING, _corrupt STRING"
+    "data_flow_confirmed: ARRAY<STRUCT<source: STRING, sink: STRING, exploitable: BOOLEAN, explanation: STRING>>, "
+    "api_endpoints: ARRAY<STRING>, summary: STRING"
 )
 
 # Severities from worst to mildest.

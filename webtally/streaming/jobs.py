@@ -30,9 +30,7 @@ def stream_lockouts(
 ) -> DataFrame:
     """Verdict per attempt and key, with state kept across micro-batches."""
     window_us, lockout_us = window * SECOND, lockout * SECOND
-    keyed = attempt_keys(attempts.withWatermark("ts", delay)).withColumn(
-        "ts", F.timestamp_micros("us")
-    )
+    keyed = attempt_keys(attempts).withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", delay)
 
     def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,8 +44,7 @@ def stream_lockouts(
         _arm(state, max(int(rows["us"].iloc[-1]) + window_us, guard.locked_until))
         yield rows[["key", "event_id", "us", "success"]].assign(verdict=verdicts)
 
-    watermarked = keyed.withWatermark("ts", delay)
-    return watermarked.groupBy("key").applyInPandasWithState(
+    return keyed.groupBy("key").applyInPandasWithState(
         judge,
         "key string, event_id bigint, us bigint, success boolean, verdict string",
         "failures array<bigint>, locked_until bigint",
