@@ -285,7 +285,7 @@ SHELLS: list[tuple[str, bool, int]] = [  # markup, is_spa, framework markers
     ('<body><div id="root">{text}{text}</div></body>', False, 0),
     ("<body><noscript>Please enable JavaScript</noscript><p>short</p></body>", True, 0),
     ("<body><noscript>Please enable JavaScript</noscript><p>{text}{text}{text}{text}</p></body>", False, 0),
-    ("<body><p>tiny</p><script>createApp(App); window.__NUXT__ = '{pad}'</script></body>", True, 3),
+    ("<body><p>tiny</p><script>createApp(App); window.__NUXT__ = '{pad}'</script></body>", True, 4),
     ("<body><p>tiny</p><script>plain('{pad}')</script></body>", False, 0),
     ("<p>no body {text}</p>", False, 0),
     ('<body><my-app ng-version="15"><br>hi</my-app><script>{text}</script></body>', True, 0),

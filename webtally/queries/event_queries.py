@@ -124,7 +124,7 @@ def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, ddl: str) -> DataFrame:
-    return stream_source(spark, f"{sf_dir}/{name}.parquet", ddl)
+    return stream_source(spark, sf_dir, ddl, file_glob=f"{name}.parquet")
 
 
 @query("w1_lockouts_stream", LOCKOUT_SQL + "SELECT key, event_id, us, success, verdict FROM judged")
@@ -177,7 +177,7 @@ def _(spark, sf_dir):
     """Written twice: the second write replaces the first."""
     folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
     found = document_findings(spark, sf_dir).withColumn("scan_id", F.col("asset_id") % 5)
-    scans = table(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("id")).distinct()
+    scans = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 5).alias("id")).agg(F.count("*").alias("files_scanned"))
     for _ in range(2):
         store.write_scan(scans, found, folder)
     written = spark.read.parquet(f"{folder}/findings")

@@ -66,10 +66,13 @@ def load_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     return spark.read.schema(REQUESTS).format(fmt).load(path)
 
 
-def stream_source(spark: SparkSession, path: str, ddl: str, files_per_trigger: int = 64) -> DataFrame:
+def stream_source(
+    spark: SparkSession, path: str, ddl: str, files_per_trigger: int = 64, file_glob: str = "*.parquet"
+) -> DataFrame:
     """New parquet files of a folder as a stream."""
     return (
         spark.readStream.schema(struct_type(ddl))
         .option("maxFilesPerTrigger", files_per_trigger)
+        .option("pathGlobFilter", file_glob)
         .parquet(path)
     )
