@@ -8,14 +8,13 @@ joined or shuffled, and it runs unchanged on a stream.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
 
 from . import dialect
-from .text import let
+from .text import constant, let
 
 _TYPE = "array<struct<id: int, rx: string, g: array<int>, anchors: array<array<string>>>>"
 
@@ -29,11 +28,6 @@ class LinePattern(NamedTuple):
     ignore_case: bool = False
 
 
-def constant(rows: Sequence[Sequence] | Sequence[dict], ddl: str) -> Column:
-    """A constant array column; folded once when the plan is optimised."""
-    return F.from_json(F.lit(json.dumps(rows)), ddl)
-
-
 def _pattern_array(patterns: Sequence[LinePattern]) -> Column:
     rows = [
         {

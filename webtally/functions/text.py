@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,6 +10,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .dialect import WHITESPACE
 
 
+def constant(rows: Sequence, ddl: str) -> Column:
+    """A constant array column from plain Python values; folded once when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(rows)), ddl)
+
+
+def strings(values: Sequence[str]) -> Column:
+    return constant(list(values), "array<string>")
+
+
 def split_lines(content: Column) -> Column:
     return F.split(content, "\n", -1)
 
@@ -22,14 +32,6 @@ def extract_all(text: Column, java_pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern), F.lit(group))
 
 
-def any_of(text: Column, needles: Sequence[str]) -> Column:
-    """True if the text contains one of the literals; a plain byte search per literal."""
-    test = F.lit(False)
-    for needle in needles:
-        test = test | F.contains(text, F.lit(needle))
-    return test
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

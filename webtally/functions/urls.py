@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import let
+from .text import let, strings
 from ..catalog.paths import STATIC_EXTENSIONS, UNFOLLOWED_SUBSTRINGS, UNFOLLOWED_SUFFIXES
 
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -136,8 +136,8 @@ def same_origin(url: Column, base_netloc: Column) -> Column:
 
 def should_follow(url: Column, base_netloc: Column) -> Column:
     """Same origin, no static suffix, no noise."""
-    suffixes = F.array(*[F.lit(s) for s in UNFOLLOWED_SUFFIXES])
-    noise = F.array(*[F.lit(s) for s in UNFOLLOWED_SUBSTRINGS])
+    suffixes = strings(UNFOLLOWED_SUFFIXES)
+    noise = strings(UNFOLLOWED_SUBSTRINGS)
 
     def keep(args: Column) -> Column:
         net, lower_path, lower_url = (args.getField(f) for f in ("net", "path", "url"))

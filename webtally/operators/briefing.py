@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog.rules import RULES, Rule
 from ..catalog.vulns import KNOWN_VULNS, KnownVuln
-from ..functions.patterns import constant
-from ..functions.text import let
+from ..functions.text import constant, let
 from .dataflow import with_flows
 from .dependencies import with_dependencies
 from .endpoints import with_endpoints

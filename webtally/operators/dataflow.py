@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import code
 from ..functions import dialect
-from ..functions.patterns import constant
-from ..functions.text import explode_structs, let, split_lines, strip
+from ..functions.text import constant, explode_structs, let, split_lines, strip
 
 CONTEXT_CHARS = 200
 HINT_CHARS = 80

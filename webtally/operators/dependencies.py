@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import code
 from ..catalog.vulns import KNOWN_VULNS, KnownVuln
-from ..functions.patterns import LinePattern, active_patterns, constant, pattern_matches
-from ..functions.text import explode_structs, first_by_key, let, reshape, strip
+from ..functions.patterns import LinePattern, active_patterns, pattern_matches
+from ..functions.text import constant, explode_structs, first_by_key, let, reshape, strip
 from ..functions.versions import version_key
 
 SECTIONS = ["dependencies", "devDependencies", "peerDependencies"]

@@ -12,7 +12,7 @@ from ..catalog import code
 from ..catalog.paths import FRAMEWORK_MARKERS, SENSITIVE_PATHS
 from ..functions import dialect, urls
 from ..functions.normalize import unescape_html
-from ..functions.text import explode_structs, extract_all, let
+from ..functions.text import explode_structs, extract_all, let, strings
 
 # Tags and attributes that reference another resource.
 REFERENCE_ATTRIBUTES: list[tuple[str, str]] = [
@@ -136,14 +136,10 @@ def page_refs(pages: DataFrame) -> DataFrame:
     return source_map_candidates(merged)
 
 
-def _paths(paths: Sequence[str]) -> Column:
-    return F.array(*[F.lit(p) for p in paths])
-
-
 def interesting_refs(refs: DataFrame, paths: Sequence[str] = SENSITIVE_PATHS) -> DataFrame:
     """References to text assets or to a sensitive path."""
     url = F.col("target")
-    return refs.where(urls.has_static_suffix(url) | F.exists(_paths(paths), lambda p: F.contains(url, p)))
+    return refs.where(urls.has_static_suffix(url) | F.exists(strings(paths), lambda p: F.contains(url, p)))
 
 
 def sensitive_path_match(found: DataFrame, paths: Sequence[str] = SENSITIVE_PATHS, exact: bool = False) -> DataFrame:
@@ -153,7 +149,7 @@ def sensitive_path_match(found: DataFrame, paths: Sequence[str] = SENSITIVE_PATH
     """
     subject = urls.path(F.col("target")) if exact else F.col("target")
     test = (lambda s, p: s == p) if exact else F.contains
-    hits = let(subject, lambda s: F.filter(_paths(paths), lambda p: test(s, p)))
+    hits = let(subject, lambda s: F.filter(strings(paths), lambda p: test(s, p)))
     return found.select(*found.columns, F.explode_outer(hits).alias("path")).where(F.col("path").isNotNull())
 
 
@@ -187,7 +183,7 @@ def framework_markers(html: Column) -> Column:
         combined = F.lower(F.concat(F.array_join(texts, " "), F.array_join(attribute_values(parts, "script", "src"), " ")))
         return let(
             combined,
-            lambda text: F.size(F.filter(F.array(*[F.lit(m.lower()) for m in FRAMEWORK_MARKERS]), lambda m: F.contains(text, m))),
+            lambda text: F.size(F.filter(strings([m.lower() for m in FRAMEWORK_MARKERS]), lambda m: F.contains(text, m))),
         )
 
     return let(body, count)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import code
 from ..functions.patterns import LinePattern, active_patterns, pattern_matches
-from ..functions.text import any_of, explode_structs, first_by_key, let, reshape, split_lines
+from ..functions.text import explode_structs, first_by_key, let, reshape, split_lines, strings
 
 # context and pattern in order of precedence; groups: url, method (or second url).
 # Anchors are looked up in the lower-cased text.
@@ -25,7 +25,7 @@ CONTEXTS = [context for context, _ in ENDPOINTS]
 def endpoint_array(content: Column) -> Column:
     """``array<struct<line, method, url, context>>``; the first use of a URL in a file wins."""
     patterns = [p for _, p in ENDPOINTS]
-    contexts = F.array(*[F.lit(c) for c in CONTEXTS])
+    contexts = strings(CONTEXTS)
 
     def extract(lines: Column) -> Column:
         found = let(active_patterns(patterns, F.lower(content)), lambda active: pattern_matches(active, lines, 2))
@@ -51,7 +51,7 @@ def endpoint_array(content: Column) -> Column:
     found = let(split_lines(content), extract)
     kept = F.filter(
         found,
-        lambda e: e.getField("url").isNotNull() & ~any_of(F.lower(e.getField("url")), code.ENDPOINT_NOISE),
+        lambda e: e.getField("url").isNotNull() & ~let(F.lower(e.getField("url")), lambda u: F.exists(strings(code.ENDPOINT_NOISE), lambda n: F.contains(u, n))),
     )
     firsts = first_by_key(kept, ["url"])
     return F.sort_array(reshape(firsts, "line", "ord", "pos", "method", "url", "context"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import code
 from ..functions.patterns import LinePattern, active_patterns, pattern_matches
-from ..functions.text import explode_structs, let, split_lines, strip
+from ..functions.text import explode_structs, let, split_lines, strings, strip
 
 VALUE_CHARS = 150
 
@@ -34,7 +34,7 @@ def fact_array(content: Column) -> Column:
         active_patterns(patterns, F.lower(content)),
         lambda active: let(split_lines(content), lambda lines: pattern_matches(active, lines, 3)),
     )
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    kinds = strings(KINDS)
     keyword = "(?i)" + "|".join(code.VARIABLE_KEYWORDS)
 
     def shape(m: Column) -> Column:

@@ -8,8 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import urls
-from ..functions.patterns import constant
-from ..functions.text import let
+from ..functions.text import constant, let
 
 # Address ranges, host names and addresses that are never public.
 BLOCKED_RANGES: list[str] = [

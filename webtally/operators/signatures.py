@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..catalog.rules import RULES, Rule
 from ..functions import dialect
-from ..functions.patterns import LinePattern, active_patterns, constant, pattern_matches
-from ..functions.text import explode_structs, first_by_key, let, reshape, split_lines
+from ..functions.patterns import LinePattern, active_patterns, pattern_matches
+from ..functions.text import constant, explode_structs, first_by_key, let, reshape, split_lines
 from ..schema import severity_rank
 
 EVIDENCE_CHARS = 300

@@ -8,6 +8,7 @@ from ..catalog import code
 from ..catalog.vulns import KNOWN_VULNS
 from ..functions import normalize as N
 from ..functions.dialect import WHITESPACE
+from ..functions.text import strings
 from ..functions.versions import version_below
 from ..operators.dataflow import sink_source_summary, sinks_sources
 from ..operators.dependencies import (
@@ -227,7 +228,7 @@ _SPECS = "[" + ", ".join(quote(s) for s in MANIFEST_SPECS) + "]"
 )
 def _(spark, sf_dir):
     k = F.col("p_partkey")
-    specs = F.array(*[F.lit(s) for s in MANIFEST_SPECS])
+    specs = strings(MANIFEST_SPECS)
     rows = table(spark, sf_dir, "part").select(
         k.alias("id"), F.element_at(specs, (k % len(MANIFEST_SPECS) + 1).cast("int")).alias("version"),
         F.concat_ws(".", F.col("p_size") % 5, k % 7, k % 3).alias("threshold"),
@@ -247,7 +248,7 @@ _LIBS_SQL = "[" + ", ".join(quote(s) for s in _LIBS) + "]"
 SELECT name, version, count(*) AS n, cve IS NOT NULL AS vulnerable, coalesce(cve, '') AS cve FROM deps d LEFT JOIN matched m ON hash(d.name, d.version) = m.dep_id GROUP BY ALL""",
 )
 def _(spark, sf_dir):
-    libs = F.array(*[F.lit(s) for s in _LIBS])
+    libs = strings(_LIBS)
     deps = table(spark, sf_dir, "lineitem").select(
         F.element_at(libs, (F.col("l_partkey") % len(_LIBS) + 1).cast("int")).alias("name"),
         F.concat_ws(".", F.col("l_linenumber") % 5, F.col("l_suppkey") % 9, F.col("l_orderkey") % 13).alias("version"),

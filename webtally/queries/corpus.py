@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.text import strings
+
 # placeholders: {k} key, {w} word of the row, {hN}/{HN} N hex digits of md5(key)
 DIGITS = (4, 6, 8, 11, 12, 16, 22, 32)
 
@@ -120,7 +122,7 @@ def _fill_sql(form: str, key: str, word: str) -> str:
 def derived_files(base: DataFrame, key: str, word: str, forms: list[str], n_lines: int, stride: int) -> DataFrame:
     """Assets of ``n_lines`` lines per row of the base table."""
     k = F.col(key).cast("bigint")
-    table = F.array(*[F.lit(f) for f in forms])
+    table = strings(forms)
     staged = base.select(k.alias("asset_id"), F.col(word).alias("_w"), F.md5(k.cast("string")).alias("_md5"))
     picked = F.transform(
         F.sequence(F.lit(0), F.lit(n_lines - 1)),
@@ -130,7 +132,7 @@ def derived_files(base: DataFrame, key: str, word: str, forms: list[str], n_line
     staged = staged.withColumn("_form", F.array_join(picked, "\n"))
     content = _fill(F.col("_form"), F.col("asset_id").cast("string"), F.col("_w"), F.col("_md5"))
     file_type = F.element_at(
-        F.array(*[F.lit(t) for t in FILE_TYPES]), (F.col("asset_id") % len(FILE_TYPES) + 1).cast("int")
+        strings(FILE_TYPES), (F.col("asset_id") % len(FILE_TYPES) + 1).cast("int")
     )
     return staged.select(
         "asset_id",
@@ -177,7 +179,7 @@ CODE_SQL = derived_files_sql("customer", "c_custkey", "c_name", CODE_LINES, 12,
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Package manifests as JSON text, from ``customer``; every ninth is malformed."""
     k = F.col("c_custkey").cast("bigint")
-    specs, names = F.array(*[F.lit(s) for s in MANIFEST_SPECS]), F.array(*[F.lit(n) for n in MANIFEST_NAMES])
+    specs, names = strings(MANIFEST_SPECS), strings(MANIFEST_NAMES)
 
     def pair(j: int) -> Column:
         name = F.element_at(names, ((k + j) % len(MANIFEST_NAMES) + 1).cast("int"))

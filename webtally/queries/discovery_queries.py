@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..catalog.paths import SENSITIVE_PATHS, STATIC_EXTENSIONS, UNFOLLOWED_SUBSTRINGS, UNFOLLOWED_SUFFIXES
 from ..functions import urls
+from ..functions.text import strings
 from ..operators import discovery as D
 from ..operators.diff import diff_sets
 from ..operators.closure import closure_static_refs, link_closure
@@ -48,7 +49,7 @@ FETCH_PATHS = ["/a/app.JS", "/.env", "/index", "/x/y.min.css?v=1", "/dir.d/readm
 )
 def _(spark, sf_dir):
     k = F.col("doc_id")
-    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (k % n + 1).cast("int"))
+    pick = lambda values, n: F.element_at(strings(values), (k % n + 1).cast("int"))
     fetched = spread_small(table(spark, sf_dir, "documents")).select(
         k.alias("asset_id"), F.concat(F.lit("https://h"), k % 9, F.lit(".example.com"), pick(FETCH_PATHS, 8)).alias("url"),
         F.col("text").alias("content"), F.when(k % 10 == 9, 404).otherwise(200).alias("status"),
@@ -169,7 +170,7 @@ def _site_text(form: Column) -> Column:
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that link to later pages of their site and hold four forms each."""
     k = F.col("page_id")
-    forms = F.array(*[F.lit(m) for m, _ in FORMS])
+    forms = strings([m for m, _ in FORMS])
     links = (
         '<a href="/p/@1">one</a><a href="@2#part">two</a><a href="/p/@3?page=2">three</a>'
         '<a href="mailto:x@example.com">m</a><a href="/logo.png">l</a><script>navigate("/p/@4")</script>'
@@ -309,7 +310,7 @@ def _(spark, sf_dir):
 
 def shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    forms = F.array(*[F.lit(shell_markup(i)) for i in range(len(SHELLS))])
+    forms = strings([shell_markup(i) for i in range(len(SHELLS))])
     return table(spark, sf_dir, "customer").select(
         k.alias("page_id"), F.concat(F.lit("https://w/"), k).alias("url"),
         F.concat(F.lit("<html><head><title>"), "c_name", F.lit("</title></head>"), F.element_at(forms, (k % len(SHELLS) + 1).cast("int")), F.lit("</html>")).alias("html"),
@@ -419,7 +420,7 @@ SELECT o_orderkey AS id, 'http://' || replace(host, '{{a}}', (o_custkey % 100 +
  reason = '' AS allowed, replace(reason, '{{a}}', (o_custkey % 100 + 100)::VARCHAR) AS reason FROM orders JOIN f ON i = o_orderkey % {len(HOST_FORMS)}""",
 )
 def _(spark, sf_dir):
-    hosts = F.array(*[F.lit(h) for h, _ in HOST_FORMS])
+    hosts = strings([h for h, _ in HOST_FORMS])
     host = F.element_at(hosts, (F.col("o_orderkey") % len(HOST_FORMS) + 1).cast("int"))
     number = (F.col("o_custkey") % 100 + 100).cast("string")
     rows = table(spark, sf_dir, "orders").select(

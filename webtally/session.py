@@ -17,6 +17,8 @@ SETTINGS = {
     # Arrow batches are bounded by bytes as well, since rows carry whole files
     "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # do not record a Python call site for every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
