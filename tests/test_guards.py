@@ -1,0 +1,193 @@
+"""Event guards against sequential restatements, with a hot key among the keys."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from webtally.operators import guards as G
+from webtally.streaming import jobs
+
+US = 1_000_000
+BASE = 1_704_067_200
+
+
+def attempts_frame(spark, rows):
+    df = spark.createDataFrame(rows, "event_id bigint, us bigint, ip string, username string, success boolean")
+    return df.withColumn("ts", F.timestamp_micros("us"))
+
+
+def random_attempts(n=3000, seed=1):
+    rng = random.Random(seed)
+    rows, now = [], BASE * US
+    for i in range(n):
+        now += rng.choice([1, 5, 20, 60, 300, 900, 2000]) * US // rng.choice([1, 10, 100])
+        ip = "10.0.0.1" if rng.random() < 0.5 else f"10.0.0.{rng.randrange(2, 9)}"  # half of all under one address
+        rows.append((i, now, ip, f"u{rng.randrange(6)}", rng.random() < 0.15))
+    return rows
+
+
+def sequential_lockouts(rows, max_attempts=5, window=300, lockout=900):
+    failures, locked, out = {}, {}, []
+    for event_id, us, ip, user, success in sorted(rows, key=lambda r: (r[1], r[0])):
+        for key in (f"ip:{ip}", f"user:{user}"):
+            if us < locked.get(key, 0):
+                out.append((key, event_id, "blocked"))
+            elif success:
+                failures.pop(key, None)
+                out.append((key, event_id, "success"))
+            else:
+                recent = [t for t in failures.get(key, []) if t > us - window * US] + [us]
+                failures[key] = recent
+                if len(recent) >= max_attempts:
+                    locked[key] = us + lockout * US
+                out.append((key, event_id, "locked" if len(recent) >= max_attempts else "failure"))
+    return sorted(out)
+
+
+def verdicts(df):
+    return sorted((r.key, r.event_id, r.verdict) for r in df.collect())
+
+
+def test_lockouts(spark):
+    rows = random_attempts()
+    want = sequential_lockouts(rows)
+    assert {v for _, _, v in want} == {"blocked", "success", "failure", "locked"}
+    assert verdicts(G.lockouts(attempts_frame(spark, rows))) == want
+
+
+@pytest.mark.parametrize("span, last", [(299, "locked"), (300, "failure")])
+def test_lockout_window_edge(spark, span, last):
+    times = [0, 1, 2, 3, span]
+    rows = [(i, (BASE + t) * US, "1.1.1.1", f"u{i}", False) for i, t in enumerate(times)]
+    got = [v for k, _, v in verdicts(G.lockouts(attempts_frame(spark, rows))) if k.startswith("ip:")]
+    assert got == ["failure"] * 4 + [last]
+
+
+def test_lockout_end(spark):
+    times = [0, 1, 2, 3, 4, 903, 904, 905]  # locked at 4 until 904
+    rows = [(i, (BASE + t) * US, "1.1.1.1", f"u{i}", False) for i, t in enumerate(times)]
+    got = [v for k, _, v in verdicts(G.lockouts(attempts_frame(spark, rows))) if k.startswith("ip:")]
+    assert got == ["failure"] * 4 + ["locked", "blocked", "failure", "failure"]
+
+
+def test_recent_failures(spark):
+    rows = random_attempts(1500, seed=2)
+    failed = [(f"ip:{r[2]}", r[0], r[1]) for r in rows if not r[4]] + [(f"user:{r[3]}", r[0], r[1]) for r in rows if not r[4]]
+    want = sorted((k, e, sum(1 for k2, _, t2 in failed if k2 == k and t - 300 * US < t2 <= t)) for k, e, t in failed)
+    got = sorted((r.key, r.event_id, r.recent) for r in G.recent_failures(attempts_frame(spark, rows)).collect())
+    assert got == want
+
+
+def request_rows(n=2000, seed=3):
+    rng = random.Random(seed)
+    now, rows = BASE * US, []
+    for i in range(n):
+        now += rng.choice([100_000, 500_000, 1_000_000, 30_000_000, 61_000_000]) // rng.choice([1, 1, 10, 50])
+        rows.append((i, 1 if rng.random() < 0.6 else rng.randrange(2, 6), now))
+    return rows
+
+
+def sequential_rate(rows, limit, seconds):
+    state, out = {}, []
+    for event_id, user, us in sorted(rows, key=lambda r: (r[2], r[0])):
+        start, count = state.get(user, (None, 0))
+        if start is None or us - start > seconds * US:
+            state[user] = (us, 1)
+            out.append((user, event_id, True))
+        elif count >= limit:
+            out.append((user, event_id, False))
+        else:
+            state[user] = (start, count + 1)
+            out.append((user, event_id, True))
+    return sorted(out)
+
+
+def requests_frame(spark, rows):
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, us bigint")
+    return df.select("event_id", "user_id", F.timestamp_micros("us").alias("ts"))
+
+
+@pytest.mark.parametrize("limit", [3, 9])
+def test_rate_limit(spark, limit):
+    rows = request_rows()
+    want = sequential_rate(rows, limit, 60)
+    assert not all(ok for _, _, ok in want)
+    got = sorted((r.user_id, r.event_id, r.allowed) for r in G.rate_limit(requests_frame(spark, rows), limit, 60).collect())
+    assert got == want
+
+
+def test_rate_limit_edge(spark):
+    start = BASE * US
+    rows = [(i, 1, start + i) for i in range(31)] + [(31, 1, start + 60 * US), (32, 1, start + 60 * US + 1000)]
+    got = {r.event_id: r.allowed for r in G.rate_limit(requests_frame(spark, rows)).collect()}
+    assert [e for e, ok in got.items() if not ok] and sorted(e for e, ok in got.items() if not ok) == [30, 31]
+
+
+def test_sessions_edges(spark):
+    offsets = [0, 3599, 7199, 10800]  # gaps 3599, 3600, 3601
+    rows = [(i, 1, (BASE + t) * US) for i, t in enumerate(offsets)]
+    got = sorted((r.start_us // US - BASE, r.end_us // US - BASE, r.n) for r in G.sessions(requests_frame(spark, rows)).collect())
+    assert got == [(0, 7199, 3), (10800, 10800, 1)]
+
+
+def test_pause_segments_cross_buckets(spark):
+    """A pause-free run over many buckets is one segment; empty buckets end it."""
+    rows = [(i, 1, (BASE + 1800 * i) * US) for i in range(200)] + [(900, 1, (BASE + 1800 * 199 + 90_000) * US)]
+    cut = G.pause_segments(requests_frame(spark, rows).withColumn("us", F.unix_micros("ts")), ["user_id"], 3600 * US)
+    assert sorted((r.segment // US - BASE, r["count"]) for r in cut.groupBy("segment").count().collect()) == [(0, 200), (1800 * 199 + 90_000, 1)]
+
+
+def write_in_files(df, folder, n):
+    df.repartitionByRange(n, "ts").sortWithinPartitions("ts").write.parquet(folder)
+
+
+def test_lockouts_as_stream(spark, tmp_path):
+    """Several micro-batches with state in between give the batch result."""
+    rows = random_attempts(600, seed=5)
+    source = attempts_frame(spark, rows).drop("us")
+    for part in range(4):
+        chunk = source.where((F.col("event_id") >= part * 150) & (F.col("event_id") < (part + 1) * 150))
+        chunk.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    jobs.run_to_end(jobs.stream_lockouts(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert verdicts(spark.read.parquet(str(tmp_path / "out"))) == sequential_lockouts(rows)
+
+
+def test_rate_limit_as_stream(spark, tmp_path):
+    rows = request_rows(400, seed=6)
+    source = requests_frame(spark, rows)
+    for part in range(4):
+        chunk = source.where((F.col("event_id") >= part * 100) & (F.col("event_id") < (part + 1) * 100))
+        chunk.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.run_to_end(jobs.stream_rate_limit(stream, 3, 60), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = sorted((r.user_id, r.event_id, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sequential_rate(rows, 3, 60)
+
+
+def test_windowed_streams(spark, tmp_path):
+    """Closed windows and sessions equal the batch; a last far event closes the others."""
+    rows = request_rows(300, seed=7)
+    far = (max(r[2] for r in rows) // US + 10 * 86400) * US
+    source = requests_frame(spark, rows + [(9999, 99, far)])
+    source.coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run(build, name):
+        stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+        jobs.run_to_end(build(stream), str(tmp_path / name), str(tmp_path / f"{name}-state"))
+        return spark.read.parquet(str(tmp_path / name))
+
+    minutes = run(jobs.stream_requests_per_minute, "minutes").where("user_id <> 99")
+    batch = G.requests_per_minute(source).where("user_id <> 99")
+    assert sorted(map(tuple, minutes.collect())) == sorted(map(tuple, batch.collect()))
+    sessions = run(lambda s: jobs.stream_sessions(s, 1), "sessions").where("user_id <> 99")
+    want = G.sessions(source, 1).where("user_id <> 99")
+    assert sorted((r.user_id, r.n) for r in sessions.collect()) == sorted((r.user_id, r.n) for r in want.collect())
+
+    audit = source.withColumn("action", F.lit("login")).withColumn("severity", F.lit("info"))
+    audit.coalesce(1).write.parquet(str(tmp_path / "audit"))
+    stream = spark.readStream.schema(audit.schema).parquet(str(tmp_path / "audit"))
+    jobs.run_to_end(jobs.stream_audit_counts(stream), str(tmp_path / "counts"), str(tmp_path / "counts-state"))
+    closed = spark.read.parquet(str(tmp_path / "counts"))
+    assert closed.agg(F.sum("n")).first()[0] == len(rows)
