@@ -18,19 +18,15 @@ def stored_pages(pages: DataFrame) -> DataFrame:
 def link_closure(pages: DataFrame, start: DataFrame, max_pages: int = 20) -> DataFrame:
     """Pages reached from each site's start URLs, at most ``max_pages`` per site.
 
-    Pages are taken level by level and by URL within a level. A level is one join
-    of the frontier (at most ``max_pages`` rows per site) with the edges, an anti
-    join against the pages reached so far and a top-k per site. Each level ends in
-    a reliable checkpoint, so the plan does not grow with the depth.
+    Pages are taken level by level and by URL within a level. The text of the pages
+    is read once, for the edges. A level joins the frontier (at most ``max_pages``
+    rows per site) with the edges of its pages, so a page everybody links to costs
+    nothing extra, and ends in a reliable checkpoint, so the plan stays small.
     Returns ``site, url, depth``.
     """
-    stored = stored_pages(pages).select("site", "url").distinct()
-    known = stored.select(F.col("url").alias("link"))
+    stored = reliable_checkpoint(stored_pages(pages).select("site", "url").distinct())
     edges = reliable_checkpoint(
-        page_links(pages.withColumn("url", urls.drop_fragment(F.col("url"))))
-        .select("url", "link")
-        .distinct()
-        .join(known, "link", "left_semi")
+        page_links(pages.withColumn("url", urls.drop_fragment(F.col("url")))).select("url", "link").distinct()
     )
     by_url = Window.partitionBy("site").orderBy("url")
 
@@ -48,6 +44,7 @@ def link_closure(pages: DataFrame, start: DataFrame, max_pages: int = 20) -> Dat
             .select("site", F.col("link").alias("url"))
             .distinct()
             .join(reached.select("url"), "url", "left_anti")
+            .join(stored.select("url"), "url", "left_semi")
         )
         ranked = found.withColumn("_rn", F.row_number().over(by_url)).where(F.col("_rn") <= max_pages)
         used = reached.groupBy("site").agg(F.count("*").alias("_used"))

@@ -2,13 +2,13 @@
 
 The state machines are sequential per key, but their state dies in a long enough
 pause. Events are cut at such pauses first, so that a busy key becomes many
-independent segments spread over the cluster, and a segment reaches Python as a
+independent segments spread over the cluster, and segments reach Python as a
 stream of Arrow batches, never as one frame.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -50,9 +50,29 @@ def pause_segments(events: DataFrame, keys: Sequence[str], min_gap: int, bucket:
     )
 
 
-def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Co-locate the groups and sort within them; grouped Python then reads in order."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+def judge_in_order(
+    cut: DataFrame, key: str, new_state: Callable[[], object], step: Callable[[object, tuple], object],
+    fields: Sequence[str], out: Sequence[str], schema: str,
+) -> DataFrame:
+    """Run a state machine over the events of every (key, segment) in time order.
+
+    Segments are placed by hash and sorted within their partition; one pass over
+    the partition starts a new state at every new segment. There is no cost per
+    segment, and memory holds one Arrow batch whatever a segment's length.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            verdicts = []
+            for row in zip(batch[key], batch["segment"], *[batch[f] for f in fields]):
+                if row[:2] != current:
+                    current, state = row[:2], new_state()
+                verdicts.append(step(state, row[2:]))
+            yield batch[list(out[:-1])].assign(**{out[-1]: verdicts})
+
+    placed = cut.repartition(key, "segment").sortWithinPartitions(key, "segment", "us", "event_id")
+    return placed.mapInPandas(run, schema)
 
 
 # -- lockout (W1) --------------------------------------------------------------
@@ -98,21 +118,12 @@ def lockouts(attempts: DataFrame, max_attempts: int = 5, window: int = 300, lock
     window_us, lockout_us = window * SECOND, lockout * SECOND
     cut = pause_segments(attempt_keys(attempts), ["key"], max(window_us, lockout_us))
 
-    def judge(group: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = LockoutState(max_attempts, window_us, lockout_us)
-        latest = None
-        for batch in batches:
-            verdicts = []
-            for us, success in zip(batch["us"], batch["success"]):
-                if latest is not None and us < latest:
-                    raise ValueError("attempts of a key arrived out of order")
-                latest = us
-                verdicts.append(state.attempt(int(us), bool(success)))
-            yield batch[["key", "event_id", "us", "success"]].assign(verdict=verdicts)
-
-    ordered = _in_order(cut, ["key", "segment"], ["us", "event_id"])
-    return ordered.groupBy("key", "segment").applyInPandas(
-        judge, "key string, event_id bigint, us bigint, success boolean, verdict string"
+    return judge_in_order(
+        cut, "key",
+        lambda: LockoutState(max_attempts, window_us, lockout_us),
+        lambda state, row: state.attempt(int(row[0]), bool(row[1])),
+        ["us", "success"], ["key", "event_id", "us", "success", "verdict"],
+        "key string, event_id bigint, us bigint, success boolean, verdict string",
     )
 
 
@@ -162,21 +173,12 @@ def rate_limit(requests: DataFrame, limit: int = 30, seconds: int = 60) -> DataF
     timed = requests.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     cut = pause_segments(timed, ["user_id"], span + 1)
 
-    def judge(group: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = RateState(limit, span)
-        latest = None
-        for batch in batches:
-            allowed = []
-            for us in batch["us"]:
-                if latest is not None and us < latest:
-                    raise ValueError("requests of a user arrived out of order")
-                latest = us
-                allowed.append(state.request(int(us)))
-            yield batch[["user_id", "event_id", "us"]].assign(allowed=allowed)
-
-    ordered = _in_order(cut, ["user_id", "segment"], ["us", "event_id"])
-    return ordered.groupBy("user_id", "segment").applyInPandas(
-        judge, "user_id bigint, event_id bigint, us bigint, allowed boolean"
+    return judge_in_order(
+        cut, "user_id",
+        lambda: RateState(limit, span),
+        lambda state, row: state.request(int(row[0])),
+        ["us"], ["user_id", "event_id", "us", "allowed"],
+        "user_id bigint, event_id bigint, us bigint, allowed boolean",
     )
 
 

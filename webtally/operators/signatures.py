@@ -150,13 +150,14 @@ def with_signature_hits(assets: DataFrame, rules: Sequence[Rule] = RULES, prefil
     return assets.withColumn("_hits", signature_hits(F.col("content"), rules, prefilter))
 
 
-def explode_hits(with_hits: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Findings rows from the hit arrays, with the attributes of their rules."""
+def explode_hits(with_hits: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
+    """Findings rows from the hit arrays, with the attributes of their rules and the
+    columns of the file named in ``keep``."""
     attributes = constant(
         [r._asdict() for r in rules],
         "array<struct<name: string, severity: string, category: string, impact: string, recommendation: string>>",
     )
-    rows = explode_structs(with_hits, "_hits", "asset_id", "url", "file_type")
+    rows = explode_structs(with_hits, "_hits", "asset_id", "url", "file_type", *keep)
     rule = F.element_at(attributes, F.col("rule_id"))
     return rows.select(
         "asset_id",
@@ -173,10 +174,15 @@ def explode_hits(with_hits: DataFrame, rules: Sequence[Rule] = RULES) -> DataFra
         F.lit("signature").alias("detector"),
         "pos",
         severity_rank(rule.getField("severity")).alias("severity_rank"),
+        *keep,
     )
 
 
-def scan_signatures(assets: DataFrame, rules: Sequence[Rule] = RULES, prefilter: bool = True) -> DataFrame:
-    """All findings of all files. Reads ``asset_id, url, file_type, content``."""
-    slim = assets.select("asset_id", "url", "file_type", "content")
-    return explode_hits(with_signature_hits(slim, rules, prefilter), rules)
+def scan_signatures(
+    assets: DataFrame, rules: Sequence[Rule] = RULES, prefilter: bool = True, keep: Sequence[str] = ()
+) -> DataFrame:
+    """All findings of all files. Reads ``asset_id, url, file_type, content`` and the
+    columns in ``keep``, such as the target a file belongs to: carried along, they
+    need no join later."""
+    slim = assets.select("asset_id", "url", "file_type", "content", *keep)
+    return explode_hits(with_signature_hits(slim, rules, prefilter), rules, keep)

@@ -13,12 +13,12 @@ from ..operators import responses as L
 from ..operators import suppression as S
 from ..operators.briefing import briefings, prompts, with_extracts
 from ..operators.signatures import scan_signatures
-from ..sources.assets import spread_small
+from ..sources.assets import documents_as_assets, spread_small
 from ..sources.store import report_counts, report_json
 from .corpus import LEAKY_SQL, code_files, leaky_files, table
 from .oracle import findings_ctes, rank
 from .registry import query
-from .signature_queries import LEAKY_FINDINGS_SQL, document_assets, leaky_findings
+from .signature_queries import LEAKY_FINDINGS_SQL, leaky_findings
 
 # -- suppression: targets are the hosts of the derived files -----------------------
 
@@ -424,9 +424,8 @@ def _(spark, sf_dir):
  || CASE WHEN length(text) > 15000 THEN substr(text, 1, 15000) || chr(10) || chr(10) || '... [TRUNCATED] ...' ELSE text END || chr(10) || '```') AS prompt_md5 FROM documents""",
 )
 def _(spark, sf_dir):
-    briefed = document_assets(spark, sf_dir).join(
-        table(spark, sf_dir, "documents").select(F.col("doc_id").alias("asset_id"), F.col("source").alias("briefing")), "asset_id"
-    )
+    documents = spread_small(table(spark, sf_dir, "documents"))
+    briefed = documents_as_assets(documents, F.col("source").alias("briefing"))
     return prompts(briefed).select("asset_id", "url", "file_type", F.md5("prompt").alias("prompt_md5"))
 
 

@@ -165,10 +165,9 @@ TARGET_SQL = DOC_FINDINGS_SQL + """, targeted AS (SELECT f.*, d.source AS target
 
 
 def targeted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document findings with the document's source as target, carried in one scan."""
+    """Document findings with the document's source as target, carried through the scan."""
     documents = spread_small(table(spark, sf_dir, "documents"))
-    targets = documents.select(F.col("doc_id").alias("asset_id"), F.col("source").alias("target"))
-    return scan_signatures(documents_as_assets(documents)).join(targets, "asset_id")
+    return scan_signatures(documents_as_assets(documents, F.col("source").alias("target")), keep=["target"])
 
 
 @query(

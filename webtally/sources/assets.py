@@ -37,10 +37,10 @@ def pages_as_assets(pages: DataFrame) -> DataFrame:
     )
 
 
-def documents_as_assets(documents: DataFrame) -> DataFrame:
+def documents_as_assets(documents: DataFrame, *keep: str | Column) -> DataFrame:
     return documents.select(
         F.col("doc_id").alias("asset_id"), F.concat(F.lit("doc://"), "doc_id").alias("url"),
-        F.lit("txt").alias("file_type"), F.col("text").alias("content"), F.length("text").alias("size"),
+        F.lit("txt").alias("file_type"), F.col("text").alias("content"), F.length("text").alias("size"), *keep,
     )
 
 
