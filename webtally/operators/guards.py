@@ -26,27 +26,27 @@ def pause_segments(events: DataFrame, keys: Sequence[str], min_gap: int, bucket:
     crosses a bucket edge travels in one summary row per bucket. A key with a third
     of all events is thereby worked on by as many tasks as it has buckets.
     """
-    keys = list(keys)
     cell = [*keys, "_bucket"]
-    bucketed = events.withColumn("_bucket", F.floor(F.col("us") / F.lit(bucket)))
     in_cell = Window.partitionBy(*cell).orderBy("us")
+    so_far = in_cell.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     over_cells = Window.partitionBy(*keys).orderBy("_bucket")
 
-    edges = bucketed.groupBy(*cell).agg(F.max("us").alias("_last"))
-    edges = edges.select(*cell, F.lag("_last").over(over_cells).alias("_last_before"))
-    linked = bucketed.withColumn("_prev", F.lag("us").over(in_cell)).join(edges, cell)
-    gap = F.col("us") - F.coalesce("_prev", "_last_before")
-    flagged = linked.withColumn("_start", F.when(F.coalesce(gap >= min_gap, F.lit(True)), F.col("us")))
+    # starts that show within a cell; its first event is decided by the cells before
+    events = events.withColumn("_bucket", F.floor(F.col("us") / F.lit(bucket)))
+    gap = F.col("us") - F.lag("us").over(in_cell)
+    marked = events.withColumn("_start", F.when(gap >= min_gap, F.col("us")))
+    marked = marked.withColumn("_running", F.max("_start").over(so_far))
+
+    cells = marked.groupBy(*cell).agg(F.min("us").alias("_first"), F.max("us").alias("_last"), F.max("_start").alias("_own"))
+    pause = F.col("_first") - F.lag("_last").over(over_cells)
+    cells = cells.withColumn("_head", F.when(F.coalesce(pause >= min_gap, F.lit(True)), F.col("_first")))
+    carried = F.max(F.coalesce("_own", "_head")).over(over_cells.rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumn("_carried", carried).select(*cell, F.coalesce("_head", "_carried").alias("_entry"))
 
-    carried = flagged.groupBy(*cell).agg(F.max("_start").alias("_own"))
-    before = over_cells.rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.select(*cell, F.max("_own").over(before).alias("_carried"))
-    running = F.max("_start").over(in_cell.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        flagged.withColumn("_running", running)
-        .join(carried, cell)
-        .withColumn("segment", F.coalesce("_running", "_carried"))
-        .drop("_bucket", "_prev", "_last_before", "_start", "_running", "_carried")
+        marked.join(cells, cell)
+        .withColumn("segment", F.coalesce("_running", "_entry"))
+        .drop("_bucket", "_start", "_running", "_entry")
     )
 
 

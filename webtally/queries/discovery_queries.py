@@ -252,7 +252,7 @@ def _(spark, sf_dir):
 # every site starts at its lowest page
 CLOSURE_SQL = """WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), edges AS (
  SELECT p_partkey AS src, unnest([p_partkey + 50, p_partkey + 150, p_partkey + 400]) AS dst FROM part),
-reach(site, page, depth) AS (SELECT p_partkey % 50, p_partkey, 0 FROM part WHERE p_partkey < 50
+reach(site, page, depth) AS (SELECT p_partkey % 50, min(p_partkey), 0 FROM part GROUP BY 1
  UNION SELECT site, dst, depth + 1 FROM reach JOIN edges ON src = page WHERE dst < (SELECT n FROM n) AND depth < 19),
 nearest AS (SELECT 'w' || site || '.example.com' AS site, 'https://w' || site || '.example.com/p/' || page AS url, min(depth) AS depth FROM reach GROUP BY site, page),
 reached AS (SELECT * FROM nearest QUALIFY row_number() OVER (PARTITION BY site ORDER BY depth, url) <= 20)
@@ -260,7 +260,7 @@ reached AS (SELECT * FROM nearest QUALIFY row_number() OVER (PARTITION BY site O
 
 
 def site_starts(found: DataFrame) -> DataFrame:
-    return found.where(F.col("page_id") < 50).select("url")
+    return found.groupBy(urls.netloc(F.col("url")).alias("site")).agg(F.min_by("url", "page_id").alias("url")).select("url")
 
 
 @query("d13_link_closure", CLOSURE_SQL + "SELECT site, url, depth::BIGINT AS depth FROM reached")

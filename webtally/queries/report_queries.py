@@ -11,11 +11,11 @@ from ..operators import findings as A
 from ..operators import history as T
 from ..operators import responses as L
 from ..operators import suppression as S
-from ..operators.briefing import briefings, prompts, with_extracts
+from ..operators.briefing import prompts
 from ..operators.signatures import scan_signatures
 from ..sources.assets import documents_as_assets, spread_small
 from ..sources.store import report_counts, report_json
-from .corpus import LEAKY_SQL, code_files, leaky_files, table
+from .corpus import LEAKY_SQL, leaky_files, table
 from .oracle import findings_ctes, rank
 from .registry import query
 from .signature_queries import LEAKY_FINDINGS_SQL, leaky_findings
@@ -411,12 +411,6 @@ def _(spark, sf_dir):
 
 # -- model requests and responses -------------------------------------------------------
 
-@query("l1_briefings")
-def _(spark, sf_dir):
-    files = spread_small(leaky_files(spark, sf_dir).unionByName(code_files(spark, sf_dir).withColumn("asset_id", F.col("asset_id") + 10000000)))
-    return briefings(with_extracts(files)).select("asset_id", "url", "briefing")
-
-
 @query(
     "l2_prompts",
     """SELECT doc_id AS asset_id, 'doc://' || doc_id AS url, 'txt' AS file_type, md5('File: doc://' || doc_id || chr(10) || 'Type: txt' || chr(10) || chr(10)
