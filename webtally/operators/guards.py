@@ -17,6 +17,13 @@ SECOND = 1_000_000
 HOUR = 3600 * SECOND
 
 
+def event_micros(events: DataFrame, column: str = "ts") -> Column:
+    """Event time in µs since 1970; a timestamp without time zone counts as UTC."""
+    if dict(events.dtypes)[column] == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column))
+    return F.unix_micros(F.col(column))
+
+
 # -- cutting at pauses ---------------------------------------------------------
 
 def pause_segments(events: DataFrame, keys: Sequence[str], min_gap: int, bucket: int = HOUR) -> DataFrame:
@@ -104,7 +111,7 @@ def attempt_keys(attempts: DataFrame) -> DataFrame:
     """Each attempt once under its address and once under its user name."""
     keys = F.array(F.concat(F.lit("ip:"), "ip"), F.concat(F.lit("user:"), "username"))
     return attempts.select(
-        F.explode(keys).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "success",
+        F.explode(keys).alias("key"), event_micros(attempts).alias("us"), "success",
         *[c for c in ("event_id",) if c in attempts.columns],
     )
 
@@ -170,7 +177,7 @@ class RateState:
 def rate_limit(requests: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
     """Whether each request is allowed (W3). Input: ``event_id, ts, user_id``."""
     span = seconds * SECOND
-    timed = requests.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    timed = requests.select("event_id", "user_id", event_micros(requests).alias("us"))
     cut = pause_segments(timed, ["user_id"], span + 1)
 
     return judge_in_order(
@@ -193,7 +200,7 @@ def requests_per_minute(requests: DataFrame) -> DataFrame:
 
 def sessions(events: DataFrame, gap_minutes: int = 60) -> DataFrame:
     """Sessions per user; a pause longer than the gap ends one (W5). Input: ``user_id, ts``."""
-    timed = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    timed = events.select("user_id", event_micros(events).alias("us"))
     cut = pause_segments(timed, ["user_id"], gap_minutes * 60 * SECOND + 1, bucket=24 * HOUR)
     return cut.groupBy("user_id", F.col("segment").alias("start_us")).agg(
         F.max("us").alias("end_us"), F.count("*").alias("n")

@@ -26,7 +26,7 @@ def burst_sql(factor: int) -> str:
 
 
 def bursts(events: DataFrame, factor: int) -> DataFrame:
-    us = F.lit(BASE_US) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(BASE_US)) / F.lit(factor))
+    us = F.lit(BASE_US) + F.floor((G.event_micros(events) - F.lit(BASE_US)) / F.lit(factor))
     return events.withColumn("ts", F.timestamp_micros(us.cast("bigint")))
 
 
