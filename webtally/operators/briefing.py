@@ -149,7 +149,10 @@ def briefings(extracts: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def prompts(briefed: DataFrame) -> DataFrame:
-    """Prompt text per file: address, type, briefing, content cut at a limit (L2)."""
+    """Prompt text per file: address, type, briefing, content cut at a limit (L2).
+
+    The frame around the values is a fixed format.
+    """
     content = F.when(
         F.length("content") > CONTENT_CHARS, F.concat(F.substring("content", 1, CONTENT_CHARS), F.lit(TRUNCATED))
     ).otherwise(F.col("content"))

@@ -60,6 +60,15 @@ def totals(files: DataFrame, findings: DataFrame, by: str) -> DataFrame:
     return scanned.join(found, by, "left").withColumn("total_findings", F.coalesce("total_findings", F.lit(0)))
 
 
+def scan_totals(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """The same totals for a single scan, as one row: counted together, without a join."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    scanned = files.select(one.alias("f"), none.alias("t"))
+    found = findings.select(none.alias("f"), one.alias("t"))
+    sums = scanned.unionByName(found).agg(F.sum("f").alias("f"), F.sum("t").alias("t"))
+    return sums.select(F.coalesce("f", F.lit(0)).alias("files_scanned"), F.coalesce("t", F.lit(0)).alias("total_findings"))
+
+
 def file_details(files: DataFrame, signature: DataFrame, responses: DataFrame | None = None) -> DataFrame:
     """Size, signature findings and summary of every file.
 

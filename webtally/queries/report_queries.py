@@ -200,12 +200,9 @@ def _(spark, sf_dir):
  UNION ALL SELECT 'new', (SELECT count(*) FROM new_assets), (SELECT count(*) FROM new_findings)""",
 )
 def _(spark, sf_dir):
-    def header(files: DataFrame, found: DataFrame) -> DataFrame:
-        return A.totals(files.select(F.lit(1).alias("scan_id")), found.select(F.lit(1).alias("scan_id")), "scan_id").drop("scan_id")
-
     return X.diff_headers(
-        header(leaky_files(spark, sf_dir), old_findings(spark, sf_dir)),
-        header(revised_files(spark, sf_dir), new_findings(spark, sf_dir)),
+        A.scan_totals(leaky_files(spark, sf_dir), old_findings(spark, sf_dir)),
+        A.scan_totals(revised_files(spark, sf_dir), new_findings(spark, sf_dir)),
     )
 
 
