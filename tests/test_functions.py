@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from webtally.functions import normalize as N
 from webtally.functions import urls
 from webtally.functions.versions import version_below
+from webtally.operators import discovery as D
 from webtally.operators.normalization import normalize_content
 
 BASES = ["http://h/a/b?x=1#f", "http://h", "http://h/", "https://u@h:80/a/b/c/", "http://h/a;p/b;q?y"]
@@ -58,6 +59,16 @@ def test_decode_unicode(spark):
     assert apply(spark, N.decode_unicode, *texts) == ["€ 😀 😀", f"{bs}uD83D x {bs}uDE00", f"{bs}u{{110000}} {bs}u{{D800}} A", "none"]
 
 
+def test_long_inputs(spark):
+    """Runs and tags far beyond what a recursive match could hold."""
+    bs = "\\"
+    assert apply(spark, N.decode_unicode, f"{bs}u0416" * 100_000) == ["Ж" * 100_000]
+    assert apply(spark, N.decode_hex, f"{bs}x41" * 100_000) == ["A" * 100_000]
+    wide = "<a " + 'k="v" ' * 50_000 + 'href="/end">'
+    found = spark.createDataFrame([(wide,)], "t string").select(D.attribute_values(F.col("t"), "a", "href").alias("v"))
+    assert found.first().v == ["/end"]
+
+
 def test_decode_base64(spark):
     got = apply(spark, N.decode_base64_literals, 'atob("aGVsbG8gd29ybGQ=")', "atob('/////////w==')", 'atob("short")', 'atob("abcdefghi")')
     assert got == ['/* b64decoded: */ "hello world"', "atob('/////////w==')", 'atob("short")', 'atob("abcdefghi")']

@@ -42,7 +42,7 @@ EDGE_TEXTS = [
     "", "no newline", "\n\n", "a\r\npassword = 'abcd'\r\n", "PASSWORD='abcd'\npassword='abcd'",
     f"x{NBSP}AK" + "IA" + "A" * 16, f"x AK" + "IA" + "B" * 16 + NBSP, f"acce{LONG_S}s-to{KELVIN}en = 'abcdefghij'", f"{LONG_S}ecret: \"12345678\"",
     "token = '" + "x" * 299 + "'", "token = '" + "x" * 300 + "'", "token = '" + "x" * 301 + "'",
-    "token='" + "y" * 120 + "1'\ntoken='" + "y" * 120 + "2'", "mail a@b.com,a@b.com c@d.org",
+    "token='" + "y" * 120 + "1'\ntoken='" + "y" * 120 + "2'", "mail a@b.com,a@b.com c@d.org", "a@b.com.c@d.org x@y.net-z@w.io q@@r.com", "a.b@c.d@e.com",
     "'AK" + "IA" + "C" * 16 + "' 'AK" + "IA" + "D" * 16 + "'", "AK" + "IA" + "E" * 16 + ",AK" + "IA" + "F" * 16,
     "١٠.0.0.1 10.1.2.٣", "éeval(x) .eval(y) eval (z)", "ver=١.2", "line token = 'abcdefgh'\u0085",
     "this.$('a').html('<b>') .$(x).html(y) .$(q).html('<i>').html(z)", "location.href = 'a'; location.assign=  b",
@@ -85,3 +85,10 @@ def test_anchors_cover_the_catalogue():
 def test_scan_has_no_shuffle(spark):
     plan = scan_signatures(assets(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_long_runs_are_read_once(spark):
+    """Two million letters in one line, in a file that also holds an address."""
+    blob = "ab" * 1_000_000
+    rows = scan_signatures(assets(spark, [f"x = {blob};\nme@example.com"])).collect()
+    assert [(r.evidence, r.line_number) for r in rows] == [("me@example.com", 2)]

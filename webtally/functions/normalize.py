@@ -13,7 +13,7 @@ _UNICODE_UNIT = (
     r"|\\u(?![dD][89a-fA-F])[0-9a-fA-F]{4})"
 )
 _HEX = r"\\x([0-9a-fA-F]{2})"
-_UNICODE_RUN = f"({_UNICODE_UNIT}+)"
+_UNICODE_RUN = f"({_UNICODE_UNIT}++)"  # possessive: a long run must not recurse
 _UNICODE_BRACED = r"(\\u\{[0-9a-fA-F]{1,6}\})"
 _BASE64_CALL = r"""(atob\s*\(\s*["'][A-Za-z0-9+/=]{8,}["']\s*\))"""
 _BASE64_ARG = r"""["']([A-Za-z0-9+/=]{8,})["']"""

@@ -96,6 +96,10 @@ ANCHORS: dict[str, list[list[str]]] = {
 }
 
 
+# rules that start with an unlimited repeat of a class
+RUNS: dict[str, str] = {"Email Address": "[a-zA-Z0-9._%+-]"}
+
+
 def rules_frame(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The catalogue as a table; rule_id is the position in the list, from 1."""
     rows = [
@@ -115,7 +119,10 @@ def _line_patterns(rules: Sequence[Rule], prefilter: bool) -> list[LinePattern]:
             return ()
         return tuple(tuple(group) for group in ANCHORS[rule.name])
 
-    return [LinePattern(r.pattern, (1,), anchors(r), ignore_case=True) for r in rules]
+    return [
+        LinePattern(r.pattern, (1,), anchors(r), ignore_case=True, run=RUNS.get(r.name, "") if r in RULES else "")
+        for r in rules
+    ]
 
 
 def _cut(evidence: Column) -> Column:
