@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, quality, sharding, token_counts, toxicity
+from . import anchors, bpe_codec, quality, repeats, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,11 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_run_length_index")
+def _(spark, sf_dir):
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), 400).drop("spans")
+
+
 @query("op2_token_counts")
 def _(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
+@query("op4_block_anchors")
+def _(spark, sf_dir):
+    return anchors.first_occurrences(table(spark, sf_dir, "documents")).drop("removed")
+
+
+@query("op5_simhash_pivots")
+def _(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUALITY_SQL = r"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 parts AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
