@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, bpe_codec, quality, repeats, sharding, simhash, token_counts, toxicity
+from . import anchors, bpe_codec, decontaminate, quality, repeats, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +76,11 @@ def _(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+@query("op8_fm_index")
+def _(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 @query("op9_bpe_codec")
 def _(spark, sf_dir):
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
