@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import anchors, bpe_codec, decontaminate, quality, repeats, sharding, simhash, token_counts, toxicity
+from . import anchors, bpe_codec, decontaminate, pii, quality, repeats, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,12 @@ def _(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 512)
 
 
+@query("op3_surrogates")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_surrogates(docs, "corpus key 1").select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), F.array_join("entities", ",").alias("kinds"))
+
+
 @query("op4_block_anchors")
 def _(spark, sf_dir):
     return anchors.first_occurrences(table(spark, sf_dir, "documents")).drop("removed")
