@@ -94,7 +94,7 @@ def suffix_ranks(codes: np.ndarray) -> np.ndarray:
     """The rank of every suffix of a string whose suffixes differ before its end; by prefix doubling."""
     n = len(codes)
     bits = int(codes.max()).bit_length()
-    packed = max(1, min(16, 63 // bits))
+    packed = max(1, min(16, 63 // bits, n))
     key = np.zeros(n, np.int64)
     for j in range(packed):
         key <<= bits
