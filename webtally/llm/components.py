@@ -13,8 +13,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label of the neighbours, then the label of that label, so that distances halve. A round
     is one written table; the driver sees one count of it.
     """
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    edges = written(ends.unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "edges")
+    ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
+    edges = written(links.select(F.inline(ways)).distinct(), "edges")
     labels = edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
     labels = written(labels, "labels")
     while True:
