@@ -26,7 +26,7 @@ from .common import document_rows, texts_of
 #: How this vocabulary cuts normalised text (fixed value).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Distinct words and token pairs a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Words cut before their distinct forms are encoded together.
 HELD_WORDS = 200_000
 

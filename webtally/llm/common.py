@@ -95,16 +95,35 @@ _BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) +
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
 
 
+#: Bytes of words hashed at once, so that the numbers made of each byte stay small in memory.
+HASHED = 1 << 18
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each word's byte values weighted by their place."""
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
+    values = _BYTE_VALUES[data[np.repeat(starts, lengths) + place]]
+    return np.add.reduceat(values * _POWERS[place & 4095], first)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each word; words must not be empty."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     lengths = ends - starts
-    at = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.arange(len(at), dtype=np.int64) - at
-    values = _BYTE_VALUES[data[np.repeat(starts, lengths) + place]]
-    weights = _POWERS[place & 4095] if lengths.max() <= 4096 else _POWERS[place & 4095] ^ mixed((place >> 12).astype(np.uint64))
-    return mixed(np.add.reduceat(values * weights, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    upto = np.cumsum(lengths)
+    out = np.zeros(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HASHED, "right"))
+        if b > a:
+            out[a:b] = _sums(data, starts[a:b], lengths[a:b])
+        else:  # one very long word, piece by piece
+            b = a + 1
+            for turn, at in enumerate(range(int(starts[a]), int(ends[a]), HASHED)):
+                piece = np.array([min(HASHED, int(ends[a]) - at)])
+                out[a] = mixed(out[a : a + 1] + np.uint64(turn))[0] + _sums(data, np.array([at]), piece)[0]
+        a = b
+    return mixed(out + lengths.astype(np.uint64))
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

@@ -22,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import document_rows, word_hashes, word_spans
+from .common import document_rows, word_hashes, word_spans, written
 from .repeats import suffix_ranks
 from .simhash import LOWER
 
 #: Characters that end words, as bytes: all of ASCII but digits and letters. (Fixed values.)
 NOT_WORD = np.array([c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F for c in range(256)])
 #: Text bytes of a shard, benchmark words of a block of phrases, distance of sampled suffix positions.
-SHARD = 4 << 20
+SHARD = 1 << 20
 BLOCK_WORDS = 2_000_000
 SAMPLE = 16
 
@@ -248,69 +248,76 @@ def blocks_of_phrases(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
         yield Phrases.of([(r["item_id"], r["text"]) for r in part.toLocalIterator()], window)
 
 
-def _searched(rows: DataFrame, benchmark: DataFrame, window: int, text_col: str) -> DataFrame:
-    """The rows with ``__words``, ``__spans`` and ``__items``, one pass for each block of phrases."""
-    schema = rows.withColumns({"__words": F.lit(0).cast("bigint"), "__spans": F.array().cast("array<bigint>"), "__items": F.array().cast("array<string>")})
-    for phrases in blocks_of_phrases(benchmark, window):
+def _searched(rows: DataFrame, benchmark: DataFrame, window: int, text_col: str, finish, schema: str) -> DataFrame:
+    """``finish(batch, words, spans, items)`` of every batch, after one pass for each block of phrases.
 
-        def run(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
+    What one block finds goes to the next with the rows; the last pass finishes them.
+    """
+    none = Phrases(np.zeros(0, np.uint64), np.zeros((0, window), np.int64), np.zeros(0, np.int64), [])
+    for last, phrases in _numbered(blocks_of_phrases(benchmark, window), none):
+        carried = "__spans" in rows.columns
+
+        def run(batches: Iterator[pa.RecordBatch], phrases=phrases, last=last, carried=carried) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(phrases)
             for batch in batches:
-                found = list(shards(batch.column(text_col).to_pylist(), searcher)) if batch.num_rows else []
-                spans = [a + f[1] for a, f in zip(batch.column("__spans").to_pylist(), found)]
-                items = [a + f[2] for a, f in zip(batch.column("__items").to_pylist(), found)]
-                at = batch.schema.get_field_index
-                batch = batch.set_column(at("__words"), "__words", pa.array([f[0] for f in found], pa.int64()))
-                batch = batch.set_column(at("__spans"), "__spans", pa.array(spans, pa.list_(pa.int64())))
-                yield batch.set_column(at("__items"), "__items", pa.array(items, pa.list_(pa.string())))
-
-        schema = schema.mapInArrow(run, schema.schema)
-    return schema
+                found = list(shards(batch.column(text_col).to_pylist(), searcher))
+                words, spans, items = ([f[i] for f in found] for i in range(3))
+                if carried:
+                    spans = [a + b for a, b in zip(batch.column("__spans").to_pylist(), spans)]
+                    items = [a + b for a, b in zip(batch.column("__items").to_pylist(), items)]
+                    batch = batch.select([n for n in batch.schema.names if n not in ("__spans", "__items")])
+                if last:
+                    yield finish(batch, words, spans, items)
+                else:
+                    more = [pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "__spans", "__items"])
+
+        wider = rows if carried else rows.withColumns({"__spans": F.array().cast("array<bigint>"), "__items": F.array().cast("array<string>")})
+        rows = rows.mapInArrow(run, schema) if last else written(rows.mapInArrow(run, wider.schema), "searched")
+    return rows
+
+
+def _numbered(blocks: Iterator[Phrases], none: Phrases) -> Iterator[tuple[bool, Phrases]]:
+    """Whether it is the last, and each block; the driver holds two at most."""
+    before = next(blocks, none)
+    while before is not None:
+        after = next(blocks, None)
+        yield after is None, before
+        before = after
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, digest of the items, contaminated, and the spans of every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit, items, digest, out = [], [], [], []
-            for spans, found in zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()):
-                spans, found = merged(spans), sorted(set(found))
-                hit.append(sum(s[1] - s[0] for s in spans))
-                items.append(len(found))
-                digest.append(hashlib.sha256(",".join(found).encode()).hexdigest())
-                out.append([x for s in spans for x in s])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("__words"), pa.array(hit, pa.int64()), pa.array(items, pa.int64()), pa.array(digest, pa.string()),
-                 pa.array([h > 0 for h in hit], pa.bool_()), pa.array(out, pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-            )
-
-    rows = document_rows(docs, id_col, text_col)
-    if benchmark.filter(F.length("text") > 0).isEmpty():  # without phrases only words are counted
-        benchmark = benchmark.sparkSession.createDataFrame([("", "\u0001")], "item_id string, text string")
-    found = _searched(rows, benchmark, window, "text").select("doc_id", "__words", "__spans", "__items")
-    return found.mapInArrow(
-        run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<bigint>"
-    )
+    def finish(batch: pa.RecordBatch, words: list, spans: list, items: list) -> pa.RecordBatch:
+        spans, items = [merged(x) for x in spans], [sorted(set(x)) for x in items]
+        hit = [sum(b - a for a, b, _, _ in x) for x in spans]
+        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        columns = {
+            "n_words": (words, pa.int64()), "n_hit": (hit, pa.int64()), "n_items": ([len(x) for x in items], pa.int64()),
+            "items_sha256": (digest, pa.string()), "contaminated": ([h > 0 for h in hit], pa.bool_()),
+            "spans": ([[x for span in s for x in span] for s in spans], pa.list_(pa.int64())),
+        }
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in columns.values())], ["doc_id", *columns])
+
+    schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<bigint>"
+    return _searched(document_rows(docs, id_col, text_col), benchmark, window, "text", finish, schema)
 
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text") -> DataFrame:
     """The rows with all their columns; benchmark passages are cut out of their texts."""
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column("__spans").to_pylist()):
-                if spans:
-                    raw, kept, last = text.encode("utf-8", "replace"), [], 0
-                    for _, _, a, b in merged(spans):
-                        kept.append(raw[last:a])
-                        last = b
-                    text = b"".join([*kept, raw[last:]]).decode("utf-8", "replace")
-                texts.append(text)
-            columns = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(batch.num_columns - 3)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-3])
-
-    return _searched(docs, benchmark, window, text_col).mapInArrow(run, docs.schema)
+    def finish(batch: pa.RecordBatch, words: list, spans: list, items: list) -> pa.RecordBatch:
+        texts = []
+        for text, found in zip(batch.column(at).to_pylist(), spans):
+            if found:
+                raw, kept, last = text.encode("utf-8", "replace"), [], 0
+                for _, _, a, b in merged(found):
+                    kept.append(raw[last:a])
+                    last = b
+                text = b"".join([*kept, raw[last:]]).decode("utf-8", "replace")
+            texts.append(text)
+        return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return _searched(docs, benchmark, window, text_col, finish, docs.schema)

@@ -63,14 +63,17 @@ def fingerprint(hashes: np.ndarray, bits: int = 64) -> bytes:
 
 
 def fingerprints(docs: DataFrame, size: int, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the row key, and the fingerprint of every row."""
+    """doc_id, the row key, the fingerprint and its node for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = pa.array([fingerprint(shingle_hashes(t, size), bits) for t in texts_of(batch)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k_id", "k_text")), fp], ["doc_id", "k_id", "k_text", "fp"])
+            fp = [fingerprint(shingle_hashes(t, size), bits) for t in texts_of(batch)]
+            node = nodes_of(np.frombuffer(b"".join(fp), ">u8").astype(np.uint64).reshape(-1, bits // 64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "k_id", "k_text")), pa.array(fp, pa.binary()), pa.array(node)], ["doc_id", "k_id", "k_text", "fp", "node"]
+            )
 
-    return keyed_rows(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, k_id bigint, k_text bigint, fp binary")
+    return keyed_rows(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, k_id bigint, k_text bigint, fp binary, node bigint")
 
 
 def block_keys(radius: int, blocks: int, agree: int) -> Callable[[np.ndarray], Iterator[np.ndarray]]:
@@ -220,19 +223,10 @@ def links(distinct: DataFrame, bits: int, radius: int, keys: Callable[[np.ndarra
     return sorted_.mapInArrow(meet, "a bigint, b bigint")
 
 
-def _with_node(rows: DataFrame, bits: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = nodes_of(_words(batch.column("fp"), bits))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], [*batch.schema.names, "node"])
-
-    return rows.mapInArrow(run, "doc_id bigint, k_id bigint, k_text bigint, fp binary, node bigint")
-
-
 def grouped(docs: DataFrame, size: int, bits: int, radius: int, keys, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row key, fingerprint and ``component``, a number that connected rows share."""
-    rows = written(_with_node(fingerprints(docs, size, bits, id_col, text_col), bits), "fingerprints")
-    found = components(links(rows.groupBy("fp").agg(F.first("node")).select("fp"), bits, radius, keys))
+    rows = written(fingerprints(docs, size, bits, id_col, text_col), "fingerprints")
+    found = components(links(rows.select("fp").distinct(), bits, radius, keys))
     joined = rows.join(found.withColumnRenamed("label", "component"), "node", "left")
     return joined.select("doc_id", "k_id", "k_text", "fp", F.coalesce("component", "node").alias("component"))
 

@@ -22,7 +22,7 @@ from .common import document_rows, text_bytes, texts_of
 #: How byte-level vocabularies of this kind cut text (fixed value).
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct merged pre-tokens a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Texts beyond this many characters are cut lazily instead of into one list.
 LONG_TEXT = 1 << 20
 

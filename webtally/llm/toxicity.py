@@ -32,6 +32,8 @@ from .common import document_rows, texts_of, written
 SAMPLE_ROWS = 20_000
 #: Most lexicon entries considered, and most exception phrases.
 ENTRIES = 20_000
+#: Keys a task counts before it sends them on.
+HELD_KEYS = 200_000
 PHRASES = 1_000
 #: Share of the toxic rows an entry must occur in, and share of toxic rows among those it occurs in.
 SUPPORT, PRECISION = 0.015, 0.8
@@ -127,16 +129,23 @@ def _counted(sample: DataFrame, keys_of) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = Counter(), Counter()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            keys = list(counts[1].keys() | counts[0].keys())
+            for i in range(0, len(keys), 50_000):
+                part = keys[i : i + 50_000]
+                yield pa.RecordBatch.from_pydict(
+                    {"key": part, "toxic_rows": [counts[1][k] for k in part], "clean_rows": [counts[0][k] for k in part]},
+                    pa.schema([("key", pa.string()), ("toxic_rows", pa.int64()), ("clean_rows", pa.int64())]),
+                )
+            counts[0].clear(), counts[1].clear()
+
         for batch in batches:
             for text, toxic in zip(texts_of(batch), batch.column("toxic").to_pylist()):
                 counts[toxic].update(keys_of(fold(text)))
-        keys = list(counts[1].keys() | counts[0].keys())
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_pydict(
-                {"key": part, "toxic_rows": [counts[1][k] for k in part], "clean_rows": [counts[0][k] for k in part]},
-                pa.schema([("key", pa.string()), ("toxic_rows", pa.int64()), ("clean_rows", pa.int64())]),
-            )
+                if len(counts[0]) + len(counts[1]) > HELD_KEYS:
+                    yield from told()
+        yield from told()
 
     counted = sample.select("text", "toxic").mapInArrow(run, "key string, toxic_rows bigint, clean_rows bigint")
     return counted.groupBy("key").agg(F.sum("toxic_rows").alias("toxic_rows"), F.sum("clean_rows").alias("clean_rows"))
