@@ -109,6 +109,7 @@ def test_link_closure(spark):
     start = pages.where("page_id = 0").select("url")
     got = sorted((r.depth, r.url) for r in link_closure(pages, start, 20).collect())
     assert got == [(0, "http://h/0"), (1, "http://h/1"), (1, "http://h/2"), (2, "http://h/3"), (3, "http://h/4"), (4, "http://h/5")]
+    assert got == sorted((r.depth, r.url) for r in link_closure(pages, start).collect())  # no cap unless asked for
     capped = sorted((r.depth, r.url) for r in link_closure(pages, start, 3).collect())
     assert capped == got[:3]
 
@@ -187,8 +188,13 @@ def test_store(spark, tmp_path):
     path, key = str(tmp_path / "store"), F.lit("0123456789abcdef")
     store.write_scan(scans, found, path, key)
     store.write_scan(scans.where("id = 1"), found.where("scan_id = 1 and evidence = 's'"), path, key)
-    kept = spark.read.parquet(f"{path}/findings")
+    kept = store.read_findings(spark, path)
     assert sorted(r.scan_id for r in kept.collect()) == [1, 2]
+    store.write_scan(scans.where("id = 2"), found.where("scan_id = 0"), path, key)  # it has become clean
+    assert [r.scan_id for r in store.read_findings(spark, path).collect()] == [1]
+    store.delete_scans(scans.where("id = 1"), path)
+    assert [r.scan_id for r in store.read_scans(spark, path).collect()] == [2] and store.read_findings(spark, path).isEmpty()
+    kept = spark.read.parquet(f"{path}/findings")
     assert all(r.evidence.startswith("aesgcm:") for r in kept.collect())
     header = store.report_counts(found).join(scans.withColumnRenamed("id", "scan_id"), "scan_id")
     lines = store.report_json(header, findings=found)

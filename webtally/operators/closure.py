@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import urls
@@ -15,8 +17,8 @@ def stored_pages(pages: DataFrame) -> DataFrame:
     return keyed.withColumn("site", urls.netloc(F.col("url")))
 
 
-def link_closure(pages: DataFrame, start: DataFrame, max_pages: int = 20) -> DataFrame:
-    """Pages reached from each site's start URLs, at most ``max_pages`` per site.
+def link_closure(pages: DataFrame, start: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Pages reached from each site's start URLs, at most ``max_pages`` per site if given.
 
     Pages are taken level by level and by URL within a level. The text of the pages
     is read once, for the edges. A level joins the frontier (at most ``max_pages``
@@ -28,17 +30,18 @@ def link_closure(pages: DataFrame, start: DataFrame, max_pages: int = 20) -> Dat
     edges = reliable_checkpoint(
         page_links(pages.withColumn("url", urls.drop_fragment(F.col("url")))).select("url", "link").distinct()
     )
+    within = lambda n: F.lit(True) if max_pages is None else n <= max_pages
     by_url = Window.partitionBy("site").orderBy("url")
 
     first = start.select(urls.drop_fragment(F.col("url")).alias("url")).distinct().join(stored, "url")
     frontier = (
         first.withColumn("_rn", F.row_number().over(by_url))
-        .where(F.col("_rn") <= max_pages)
+        .where(within(F.col("_rn")))
         .select("site", "url", F.lit(0).alias("depth"))
     )
     frontier = reliable_checkpoint(frontier)
     reached = frontier
-    for depth in range(1, max_pages):
+    for depth in count(1) if max_pages is None else range(1, max_pages):
         found = (
             frontier.join(edges, "url")
             .select("site", F.col("link").alias("url"))
@@ -46,16 +49,16 @@ def link_closure(pages: DataFrame, start: DataFrame, max_pages: int = 20) -> Dat
             .join(reached.select("url"), "url", "left_anti")
             .join(stored.select("url"), "url", "left_semi")
         )
-        ranked = found.withColumn("_rn", F.row_number().over(by_url)).where(F.col("_rn") <= max_pages)
+        ranked = found.withColumn("_rn", F.row_number().over(by_url)).where(within(F.col("_rn")))
         used = reached.groupBy("site").agg(F.count("*").alias("_used"))
         frontier = reliable_checkpoint(
             ranked.join(used, "site")
-            .where(F.col("_rn") + F.col("_used") <= max_pages)
+            .where(within(F.col("_rn") + F.col("_used")))
             .select("site", "url", F.lit(depth).alias("depth"))
         )
         if frontier.isEmpty():
             break
-        # a union of at most max_pages checkpoints, each already written
+        # a union of checkpoints, one for each level, each already written
         reached = reached.unionByName(frontier)
     return reached
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import SEVERITIES, severity_rank
 
-TOP = 10
 
 
 def target_counts(findings: DataFrame, targets: DataFrame) -> DataFrame:
@@ -36,7 +35,7 @@ def severity_text() -> Column:
     return F.coalesce(F.nullif(F.concat_ws(" · ", *parts), F.lit("")), F.lit("None"))
 
 
-def top_findings(findings: DataFrame, k: int = TOP) -> DataFrame:
+def top_findings(findings: DataFrame, k: int) -> DataFrame:
     """The k worst findings of every target (B3); each task keeps at most k per target."""
     order = Window.partitionBy("target").orderBy(
         severity_rank(F.col("severity")), "source_url", "line_number", "description", "evidence"

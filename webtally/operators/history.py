@@ -11,14 +11,15 @@ PROTECTED_PREFIX = "aesgcm:"
 
 
 def scan_history(
-    scans: DataFrame, users: DataFrame, principal: int | None = None, is_admin: bool = False, limit: int = 50
+    scans: DataFrame, users: DataFrame, principal: int | None = None, is_admin: bool = False, limit: int | None = None
 ) -> DataFrame:
     """Newest scans with their owner's name; admins see all, others their own.
 
-    Sorting and limit become one top-k per task, merged at the end.
+    With a limit, sorting becomes one top-k per task, merged at the end.
     """
     visible = scans if is_admin else scans.where(F.col("user_id") == F.lit(principal))
-    return visible.join(users.select("user_id", "username"), "user_id").orderBy(F.col("id").desc()).limit(limit)
+    newest = visible.join(users.select("user_id", "username"), "user_id").orderBy(F.col("id").desc())
+    return newest if limit is None else newest.limit(limit)
 
 
 def scan_with_user(scans: DataFrame, users: DataFrame, scan_id: int) -> DataFrame:
@@ -68,14 +69,15 @@ def retain_findings(findings: DataFrame, kept_scans: DataFrame) -> DataFrame:
 
 
 def audit_query(
-    audit: DataFrame, user_id: int | None = None, action: str | None = None, severity: str | None = None, limit: int = 200
+    audit: DataFrame, user_id: int | None = None, action: str | None = None, severity: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """Newest entries with optional equality filters (T9); an unset filter is no filter."""
     chosen = audit
     for column, value in (("user_id", user_id), ("action", action), ("severity", severity)):
         if value:
             chosen = chosen.where(F.col(column) == value)
-    return chosen.orderBy(F.col("id").desc()).limit(limit)
+    newest = chosen.orderBy(F.col("id").desc())
+    return newest if limit is None else newest.limit(limit)
 
 
 def protect(text: Column, key: Column) -> Column:

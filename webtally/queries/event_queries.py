@@ -171,19 +171,17 @@ def _(spark, sf_dir):
 @query(
     "s7_write_scan",
     "WITH " + DOC_FINDINGS_SQL.replace("WITH ", "", 1)
-    + "SELECT d.doc_id % 5 AS scan_id, count(*) AS n, count(DISTINCT f.evidence) AS kinds FROM findings f JOIN documents d ON d.doc_id = f.asset_id GROUP BY 1",
+    + "SELECT doc_id % 7 AS scan_id, f.asset_id, f.line_number::BIGINT AS line_number, md5(f.evidence) AS evidence_md5 FROM findings f JOIN documents d ON d.doc_id = f.asset_id WHERE doc_id % 7 NOT IN (2, 3)",
 )
 def _(spark, sf_dir):
-    """Written twice: the second write replaces the first."""
+    """Written twice, the second time scan 2 has lost all its findings; scan 3 is deleted."""
     folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
-    found = document_findings(spark, sf_dir).withColumn("scan_id", F.col("asset_id") % 5)
-    scans = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 5).alias("id")).agg(F.count("*").alias("files_scanned"))
-    for _ in range(2):
-        store.write_scan(scans, found, folder)
-    written = spark.read.parquet(f"{folder}/findings")
-    return written.groupBy(F.col("scan_id").cast("bigint").alias("scan_id")).agg(
-        F.count("*").alias("n"), F.countDistinct("evidence").alias("kinds")
-    )
+    found = document_findings(spark, sf_dir).withColumn("scan_id", F.col("asset_id") % 7)
+    scans = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 7).alias("id")).agg(F.count("*").alias("files_scanned"))
+    store.write_scan(scans, found, folder)
+    store.write_scan(scans, found.where("scan_id <> 2"), folder)
+    store.delete_scans(scans.where("id = 3"), folder)
+    return store.read_findings(spark, folder).select("scan_id", "asset_id", "line_number", F.md5("evidence").alias("evidence_md5"))
 
 
 @query("s9_append_audit", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")

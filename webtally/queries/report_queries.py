@@ -241,12 +241,12 @@ def users_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t1_scan_history", SCANS_SQL + "SELECT s.*, username FROM scans s JOIN users USING (user_id) ORDER BY id DESC LIMIT 50")
 def _(spark, sf_dir):
-    return T.scan_history(scans_table(spark, sf_dir), users_table(spark, sf_dir), is_admin=True)
+    return T.scan_history(scans_table(spark, sf_dir), users_table(spark, sf_dir), is_admin=True, limit=50)
 
 
 @query("t2_own_scans", SCANS_SQL + "SELECT s.*, username FROM scans s JOIN users USING (user_id) WHERE user_id = 7 ORDER BY id DESC LIMIT 50")
 def _(spark, sf_dir):
-    return T.scan_history(scans_table(spark, sf_dir), users_table(spark, sf_dir), principal=7)
+    return T.scan_history(scans_table(spark, sf_dir), users_table(spark, sf_dir), principal=7, limit=50)
 
 
 @query("t4_active_scans", SCANS_SQL + "SELECT * FROM scans WHERE status = 'running' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id DESC) = 1")
@@ -322,7 +322,7 @@ def _(spark, sf_dir):
 
 @query("t9_audit_query", f"SELECT * FROM ({AUDIT_SQL}) WHERE action = 'error' AND severity = 'warn' ORDER BY id DESC LIMIT 200")
 def _(spark, sf_dir):
-    return T.audit_query(audit_table(spark, sf_dir), action="error", severity="warn")
+    return T.audit_query(audit_table(spark, sf_dir), action="error", severity="warn", limit=200)
 
 
 @query(
@@ -372,7 +372,7 @@ def _(spark, sf_dir):
     "ORDER BY severity_rank, source_url, line_number, description, evidence) AS rank FROM targeted QUALIFY rank <= 10",
 )
 def _(spark, sf_dir):
-    top = B.top_findings(targeted(spark, sf_dir))
+    top = B.top_findings(targeted(spark, sf_dir), k=10)
     return top.select("target", "severity", "description", "source_url", "line_number", "evidence", "rank")
 
 

@@ -8,7 +8,6 @@ from ..catalog.paths import BINARY_CONTENT_TYPES
 from ..functions import urls
 from ..schema import ASSETS, REQUESTS, struct_type
 
-MAX_BYTES = 2 * 1024 * 1024
 SPREAD_LIMIT = 1 << 30
 
 
@@ -44,14 +43,14 @@ def documents_as_assets(documents: DataFrame, *keep: str | Column) -> DataFrame:
     )
 
 
-def admit_assets(fetched: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Successful responses of textual type and bounded size become assets."""
+def admit_assets(fetched: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Successful responses of textual type, and of bounded size if a bound is given, become assets."""
     binary = F.lit(False)
     for kind in BINARY_CONTENT_TYPES:
         binary = binary | F.contains("content_type", F.lit(kind))
-    kept = fetched.where(
-        (F.col("status") == 200) & ~F.coalesce(binary, F.lit(False)) & (F.octet_length("content") <= max_bytes)
-    )
+    kept = fetched.where((F.col("status") == 200) & ~F.coalesce(binary, F.lit(False)) & F.col("content").isNotNull())
+    if max_bytes is not None:
+        kept = kept.where(F.octet_length("content") <= max_bytes)
     return kept.select(
         "asset_id", "url", urls.file_type(F.col("url")).alias("file_type"), "content", F.length("content").alias("size")
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.history import protect
 from ..schema import severity_rank
@@ -11,21 +13,36 @@ REPORT_PARTS = ["findings", "api_endpoints", "dependencies", "data_flows", "file
 
 
 def write_scan(scans: DataFrame, findings: DataFrame, path: str, key: Column | None = None) -> None:
-    """Write scan rows and their findings, one folder per scan.
+    """Write scan rows and their findings (S7); a scan that is written again replaces what it was.
 
-    Dynamic partition overwrite makes a repeated write replace only its own scans.
-    The rebalance hint gathers the rows of a scan into few files and lets AQE split
-    a scan that is larger than the rest.
+    Both tables are only appended to. Every write has a version; findings are written first, and the scan rows, which
+    name the version that counts, publish them: also those of a scan that has no findings any more.
     """
     sealed = findings if key is None else findings.withColumn("evidence", protect(F.col("evidence"), key))
-    for name, table in (("scans", scans.withColumnRenamed("id", "scan_id")), ("findings", sealed)):
-        (
-            table.hint("rebalance", "scan_id")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("scan_id")
-            .parquet(f"{path}/{name}")
-        )
+    version = F.lit(time.time_ns()).alias("version")
+    rows = scans.withColumnRenamed("id", "scan_id").withColumn("deleted", F.lit(False))
+    for name, table in (("findings", sealed), ("scans", rows)):
+        table.select("*", version).hint("rebalance").write.mode("append").parquet(f"{path}/{name}")
+
+
+def read_scans(spark: SparkSession, path: str) -> DataFrame:
+    """The scans as last written, without deleted ones."""
+    every = spark.read.parquet(f"{path}/scans")
+    last = every.groupBy("scan_id").agg(F.max("version").alias("version"))
+    return every.join(last, ["scan_id", "version"]).where(~F.col("deleted")).drop("deleted")
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of the scans as last written."""
+    current = read_scans(spark, path).select("scan_id", "version")
+    return spark.read.parquet(f"{path}/findings").join(current, ["scan_id", "version"], "left_semi").drop("version")
+
+
+def delete_scans(scans: DataFrame, path: str) -> None:
+    """Delete the scans with these ids (``id``) and with them their findings."""
+    stored = read_scans(scans.sparkSession, path)
+    gone = stored.join(scans.select(F.col("id").alias("scan_id")).distinct(), "scan_id", "left_semi")
+    gone.withColumns({"version": F.lit(time.time_ns()), "deleted": F.lit(True)}).write.mode("append").parquet(f"{path}/scans")
 
 
 def report_json(scans: DataFrame, **parts: DataFrame) -> DataFrame:
@@ -76,4 +93,4 @@ def write_report(lines: DataFrame, path: str) -> None:
 
 def append_audit(entries: DataFrame, path: str) -> None:
     """Append audit rows, one folder per day so that retention and queries prune."""
-    entries.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+    entries.withColumn("day", F.to_date("ts")).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
