@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from webtally.limits import Limits
 from webtally.operators import briefing as L
 from webtally.operators import discovery as D
 from webtally.operators import findings as A
@@ -48,9 +49,10 @@ def test_dependencies_of_a_manifest(spark):
     assert [(r.asset_id, r.name, r.version, r.cve) for r in rows] == [(0, "jquery", "1.2.3", "CVE-2020-11022"), (0, "Lodash", "4.17.21", ""), (0, "x", "latest", "")]
 
 
-def test_banner_must_be_near_the_top(spark):
+def test_banner_may_be_looked_for_near_the_top_only(spark):
     late = " " * 5000 + "/*! jQuery v1.0.0 */"
-    assert dependencies(assets(spark, ("js", late))).count() == 0
+    assert dependencies(assets(spark, ("js", late))).count() == 1
+    assert dependencies(assets(spark, ("js", late)), limits=Limits(banner=5000)).count() == 0
     assert dependencies(assets(spark, ("js", "/*! jQuery v1.0.0 */"))).count() == 1
 
 
@@ -66,7 +68,8 @@ def test_merge_dedupe_rank(spark):
     rows = findings(
         spark, finding(detector="llm", severity="LOW"), finding(), finding(evidence="e2", severity=None), finding(evidence="e" * 120 + "1"), finding(evidence="e" * 120 + "2"),
     )
-    kept = A.dedupe_findings(rows)
+    assert A.dedupe_findings(rows).count() == 4
+    kept = A.dedupe_findings(rows, key_chars=100)
     assert kept.count() == 3 and kept.where("evidence = 'e'").first().detector == "signature"
     assert {r.severity: r.n for r in A.severity_counts(kept).collect()} == {"HIGH": 2, "UNKNOWN": 1}
     assert [r.severity for r in A.ranked(kept).collect()][-1] is None
@@ -95,7 +98,8 @@ def test_suppression(spark):
 def test_diff(spark):
     old = findings(spark, finding(evidence="gone"), finding(evidence="same"), finding(evidence="moved", severity="LOW"), finding(evidence="x" * 80 + "1", severity="CRITICAL"), finding(evidence="x" * 80 + "2", severity="INFO"))
     new = findings(spark, finding(evidence="same"), finding(evidence="moved", severity="HIGH"), finding(evidence="fresh", severity="ODD"), finding(evidence="x" * 80 + "3", severity="INFO"))
-    diff = diff_findings(old, new)
+    assert diff_findings(old, new).count() == 7
+    diff = diff_findings(old, new, key_chars=80)
     assert {(r.status, r.evidence[:5]) for r in diff.collect()} == {("resolved", "gone"), ("unchanged", "same"), ("changed", "moved"), ("new", "fresh"), ("unchanged", "xxxxx")}
     assert diff.count() == 5
     delta = diff_counts(A.severity_counts(old), A.severity_counts(new)).collect()

@@ -6,7 +6,7 @@ import pytest
 
 from webtally.catalog.rules import RULES, Rule
 from webtally.operators.signatures import ANCHORS, scan_signatures
-from webtally.queries.corpus import SIGNATURE_LINES
+from webtally.queries.corpus import AS_SHOWN, SIGNATURE_LINES
 
 COMPILED = [(re.compile(r.pattern, re.IGNORECASE | re.MULTILINE), r) for r in RULES]
 COLUMNS = ["asset_id", "rule_id", "line_number", "evidence"]
@@ -53,7 +53,7 @@ def test_same_as_python(spark):
     contents = EDGE_TEXTS + [fill(line, k) for k, line in enumerate(SIGNATURE_LINES)]
     contents += ["\n".join(fill(line, 7) for line in SIGNATURE_LINES), " ".join(fill(line, 9) for line in SIGNATURE_LINES)]
     want = sorted(row for i, c in enumerate(contents) for row in brute_force(i, c))
-    got = sorted(tuple(r) for r in scan_signatures(assets(spark, contents)).select(*COLUMNS).collect())
+    got = sorted(tuple(r) for r in scan_signatures(assets(spark, contents), limits=AS_SHOWN).select(*COLUMNS).collect())
     assert got == want
     assert {r[1] for r in want} == set(range(1, len(RULES) + 1))
 
@@ -67,7 +67,7 @@ def test_every_rule_has_a_near_miss():
 @pytest.mark.parametrize("prefilter", [True, False])
 def test_prefilter_changes_nothing(spark, prefilter):
     contents = EDGE_TEXTS + ["\n".join(fill(line, k) for line in SIGNATURE_LINES) for k in range(3)]
-    got = scan_signatures(assets(spark, contents), prefilter=prefilter).select(*COLUMNS).collect()
+    got = scan_signatures(assets(spark, contents), prefilter=prefilter, limits=AS_SHOWN).select(*COLUMNS).collect()
     want = [row for i, c in enumerate(contents) for row in brute_force(i, c)]
     assert sorted(map(tuple, got)) == sorted(want)
 

@@ -52,7 +52,6 @@ DEPENDENCY_BANNER: list[str] = [
     r"""\*\s+(\w+)\s+(\d+\.\d+\.\d+)""",
 ]
 DEPENDENCY_IMPORT = r"""(?:from|require\s*\()\s*["']([^"'./][^"']*?)["']"""
-BANNER_CHARS = 5000
 
 
 class FlowPattern(NamedTuple):

@@ -60,14 +60,15 @@ def expand(pattern: str, boundary: str) -> str:
     return "".join(out)
 
 
-def java(pattern: str, ignore_case: bool = False, run: str = "") -> str:
+def java(pattern: str, ignore_case: bool = False, run: str = "", first: str = "") -> str:
     """Java form of ``pattern``; only ``\\n`` ends a line, as in Python.
 
     ``run`` names the class a pattern starts to repeat without limit. Within such a
     run no later start can match where the first one fails, so only the start of a
     run and the end of the previous match are tried: a blob of two million letters
-    is then read once, not once per letter.
+    is then read once, not once per letter. ``first`` names the start of a pattern
+    that can match only from its first start in the text; only that one is tried.
     """
     edge = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
-    guard = f"(?:\\G|(?<!{run}))" if run else ""
+    guard = f"(?:\\G|(?<!{run}))" if run else f"^(?>.*?(?={first}))" if first else ""
     return ("(?diu)" if ignore_case else "(?d)") + guard + expand(pattern, edge)

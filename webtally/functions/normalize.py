@@ -7,6 +7,8 @@ import html
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from .text import let
+
 # a high and a low surrogate escape, or one escape outside the surrogate range
 _UNICODE_UNIT = (
     r"(?:\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
@@ -91,17 +93,25 @@ def join_string_literals(text: Column) -> Column:
     """``"a" + "b"`` → ``"ab"`` until nothing changes.
 
     Every useful round removes at least one literal pair, so the number of pairs
-    bounds the rounds; rounds after the fixpoint only pass the text on.
+    bounds the rounds. A round hands on the text even where nothing is left to do,
+    so rounds are grouped by the root of their number and idle groups are passed over.
     """
     pluses = F.regexp_count(text, F.lit(r"""["']\s*\+\s*["']"""))
     start = F.struct(text.alias("text"), F.lit(False).alias("done"))
 
+    def unless_done(acc: Column, more: Column) -> Column:
+        return F.when(acc.getField("done"), acc).otherwise(more)
+
     def step(acc: Column, _: Column) -> Column:
         before = acc.getField("text")
-        after = F.when(acc.getField("done"), before).otherwise(_join_once(before))
-        return F.struct(after.alias("text"), (after == before).alias("done"))
+        joined = let(_join_once(before), lambda after: F.struct(after.alias("text"), (after == before).alias("done")))
+        return unless_done(acc, joined)
+
+    def rounds(root: Column) -> Column:
+        turns = F.sequence(F.lit(1), root)
+        return F.aggregate(turns, start, lambda acc, _: unless_done(acc, F.aggregate(turns, acc, step))).getField("text")
 
-    joined = F.aggregate(F.sequence(F.lit(1), pluses), start, step).getField("text")
+    joined = let(F.ceil(F.sqrt(pluses)).cast("int"), rounds)
     return F.when(pluses > 0, joined).otherwise(text)
 
 

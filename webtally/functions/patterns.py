@@ -21,20 +21,22 @@ _TYPE = "array<struct<id: int, rx: string, g: array<int>, anchors: array<array<s
 
 class LinePattern(NamedTuple):
     """A pattern, the groups to return, and literals it needs (one of each list);
-    ``run`` is the character class of an unlimited repeat it starts with."""
+    ``run`` is the character class of an unlimited repeat it starts with, ``first``
+    what the only match in a line starts with."""
 
     pattern: str
     groups: tuple[int, ...] = (1,)
     anchors: tuple[tuple[str, ...], ...] = ()
     ignore_case: bool = False
     run: str = ""
+    first: str = ""
 
 
 def _pattern_array(patterns: Sequence[LinePattern]) -> Column:
     rows = [
         {
             "id": i,
-            "rx": dialect.java(p.pattern, p.ignore_case, p.run),
+            "rx": dialect.java(p.pattern, p.ignore_case, p.run, p.first),
             "g": list(p.groups),
             "anchors": [list(a) for a in p.anchors],
         }

@@ -28,6 +28,14 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITESPACE))
 
 
+def cut(text: Column, chars: int | None, mark: str = "") -> Column:
+    """The first ``chars`` characters, followed by ``mark`` where some are left out; ``None`` keeps all."""
+    if chars is None:
+        return text
+    start = F.substring(text, 1, chars)
+    return F.when(F.length(text) > chars, F.concat(start, F.lit(mark))).otherwise(text) if mark else start
+
+
 def extract_all(text: Column, java_pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern), F.lit(group))
 

@@ -12,41 +12,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog.rules import RULES, Rule
 from ..catalog.vulns import KNOWN_VULNS, KnownVuln
-from ..functions.text import constant, let
+from ..functions.text import constant, cut, let
+from ..limits import NONE, Limits
 from .dataflow import with_flows
 from .dependencies import with_dependencies
 from .endpoints import with_endpoints
 from .facts import with_facts
 from .signatures import with_signature_hits
 
-# How many entries of each kind a briefing lists, and its texts.
-CAPS = {"findings": 20, "endpoints": 30, "dependencies": 20, "sinks": 20, "sources": 20,
-        "routes": 10, "variables": 10, "functions": 15, "classes": 10}
-CONTENT_CHARS = 15000
+# Texts of a briefing.
 TRUNCATED = "\n\n... [TRUNCATED] ..."
 NOTHING_FOUND = "(No deterministic findings)"
 
 
 def with_extracts(
-    assets: DataFrame, rules: Sequence[Rule] = RULES, known: Sequence[KnownVuln] = KNOWN_VULNS
+    assets: DataFrame, rules: Sequence[Rule] = RULES, known: Sequence[KnownVuln] = KNOWN_VULNS,
+    limits: Limits = NONE,
 ) -> DataFrame:
     """All extractions of a file as arrays in its row: one pass over the text."""
-    return with_flows(with_dependencies(with_endpoints(with_facts(with_signature_hits(assets, rules))), known))
+    hits = with_signature_hits(assets, rules, limits=limits)
+    return with_flows(with_dependencies(with_endpoints(with_facts(hits, limits)), known, limits), limits)
 
 
 def _section(title: str, lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.concat(F.lit(title + "\n"), F.array_join(lines, "\n")))
 
 
-def _cut(entries: Column, cap: str) -> Column:
-    return F.slice(entries, 1, CAPS[cap])
+def _first(entries: Column, section: str, limits: Limits) -> Column:
+    return F.slice(entries, 1, limits.entries[section]) if section in limits.entries else entries
 
 
 def _of_kind(facts: Column, *kinds: str) -> Column:
     return F.filter(facts, lambda f: f.getField("kind").isin(*kinds))
 
 
-def _structure(facts: Column) -> Column:
+def _structure(facts: Column, limits: Limits) -> Column:
     def number(line: Column) -> Column:
         return line.cast("string")
 
@@ -62,21 +62,21 @@ def _structure(facts: Column) -> Column:
         events = parts.getField("events")
         names = lambda entries: F.transform(entries, lambda f: f.getField("name"))
         route_lines = F.transform(
-            _cut(routes, "routes"),
+            _first(routes, "routes", limits),
             lambda r: F.concat(F.lit("    "), r.getField("detail"), F.lit(" "), r.getField("name"),
                                F.lit(" (line "), number(r.getField("line")), F.lit(")")),
         )
         variable_lines = F.transform(
-            _cut(variables, "variables"),
-            lambda v: F.concat(F.lit("    "), v.getField("name"), F.lit(" = "), F.substring(v.getField("detail"), 1, 80),
+            _first(variables, "variables", limits),
+            lambda v: F.concat(F.lit("    "), v.getField("name"), F.lit(" = "), cut(v.getField("detail"), limits.shown_value),
                                F.lit(" (line "), number(v.getField("line")), F.lit(")")),
         )
         heads = [
             (routes, F.concat(F.array(F.concat(F.lit("  Route definitions: "), F.size(routes))), route_lines)),
             (variables, F.concat(F.array(F.concat(F.lit("  Interesting variables: "), F.size(variables))), variable_lines)),
             (functions, F.array(F.concat(F.lit("  Functions: "), F.size(functions), F.lit(" ("),
-                                         F.array_join(names(_cut(functions, "functions")), ", "), F.lit(")")))),
-            (classes, F.array(F.concat(F.lit("  Classes: "), F.array_join(names(_cut(classes, "classes")), ", ")))),
+                                         F.array_join(names(_first(functions, "functions", limits)), ", "), F.lit(")")))),
+            (classes, F.array(F.concat(F.lit("  Classes: "), F.array_join(names(_first(classes, "classes", limits)), ", ")))),
             (events, F.array(F.concat(F.lit("  Event listeners: "),
                                       F.array_join(F.sort_array(F.array_distinct(names(events))), ", ")))),
         ]
@@ -96,7 +96,7 @@ def _structure(facts: Column) -> Column:
     return let(parts, build)
 
 
-def briefing(rules: Sequence[Rule] = RULES) -> Column:
+def briefing(rules: Sequence[Rule] = RULES, limits: Limits = NONE) -> Column:
     """The briefing text over the arrays of ``with_extracts``."""
     attributes = constant([r._asdict() for r in rules], "array<struct<name: string, severity: string>>")
 
@@ -104,12 +104,12 @@ def briefing(rules: Sequence[Rule] = RULES) -> Column:
         return F.element_at(attributes, h.getField("rule_id")).getField(field)
 
     findings = F.transform(
-        _cut(F.col("_hits"), "findings"),
+        _first(F.col("_hits"), "findings", limits),
         lambda h: F.concat(F.lit("  ["), rule(h, "severity"), F.lit("] "), rule(h, "name"), F.lit(" detected: "),
-                           F.substring(h.getField("evidence"), 1, 80)),
+                           cut(h.getField("evidence"), limits.shown_evidence)),
     )
     endpoints = F.transform(
-        _cut(F.col("_endpoints"), "endpoints"),
+        _first(F.col("_endpoints"), "endpoints", limits),
         lambda e: F.concat(
             F.lit("  "),
             F.when(F.length(e.getField("method")) < 8, F.rpad(e.getField("method"), 8, " ")).otherwise(e.getField("method")),
@@ -117,7 +117,7 @@ def briefing(rules: Sequence[Rule] = RULES) -> Column:
             e.getField("line").cast("string"), F.lit(")")),
     )
     dependencies = F.transform(
-        _cut(F.col("_dependencies"), "dependencies"),
+        _first(F.col("_dependencies"), "dependencies", limits),
         lambda d: F.concat(
             F.lit("  "), d.getField("name"), F.lit(" "), d.getField("version"), F.lit(" ["), d.getField("source"), F.lit("]"),
             F.when(d.getField("vulnerable"), F.concat(F.lit(" ⚠ VULNERABLE ("), d.getField("cve"), F.lit(")"))).otherwise("")),
@@ -126,10 +126,10 @@ def briefing(rules: Sequence[Rule] = RULES) -> Column:
     def flows(kind: str, cap: str) -> Column:
         chosen = F.filter(F.col("_flows"), lambda s: s.getField("type") == kind)
         return F.transform(
-            _cut(chosen, cap),
+            _first(chosen, cap, limits),
             lambda s: F.concat(F.lit(f"  {kind.upper()} ["), s.getField("category"), F.lit("] "), s.getField("name"),
                                F.lit(" (line "), s.getField("line").cast("string"), F.lit("): "),
-                               F.substring(s.getField("context"), 1, 100)),
+                               cut(s.getField("context"), limits.shown_context)),
         )
 
     sections = F.concat_ws(
@@ -139,23 +139,21 @@ def briefing(rules: Sequence[Rule] = RULES) -> Column:
         _section("DEPENDENCIES:", dependencies),
         _section("DANGEROUS SINKS:", flows("sink", "sinks")),
         _section("USER-CONTROLLED SOURCES:", flows("source", "sources")),
-        F.when(F.col("_facts").isNotNull(), _structure(F.col("_facts"))),
+        F.when(F.col("_facts").isNotNull(), _structure(F.col("_facts"), limits)),
     )
     return F.when(sections == "", F.lit(NOTHING_FOUND)).otherwise(sections)
 
 
-def briefings(extracts: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    return extracts.withColumn("briefing", briefing(rules))
+def briefings(extracts: DataFrame, rules: Sequence[Rule] = RULES, limits: Limits = NONE) -> DataFrame:
+    return extracts.withColumn("briefing", briefing(rules, limits))
 
 
-def prompts(briefed: DataFrame) -> DataFrame:
-    """Prompt text per file: address, type, briefing, content cut at a limit (L2).
+def prompts(briefed: DataFrame, limits: Limits = NONE) -> DataFrame:
+    """Prompt text per file: address, type, briefing, content, cut where a limit is given (L2).
 
     The frame around the values is a fixed format.
     """
-    content = F.when(
-        F.length("content") > CONTENT_CHARS, F.concat(F.substring("content", 1, CONTENT_CHARS), F.lit(TRUNCATED))
-    ).otherwise(F.col("content"))
+    content = cut(F.col("content"), limits.content, TRUNCATED)
     text = F.concat(
         F.lit("File: "), "url", F.lit("\nType: "), "file_type",
         F.lit("\n\n═══ DETERMINISTIC BRIEFING ═══\n"), "briefing",

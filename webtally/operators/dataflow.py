@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import code
 from ..functions import dialect
-from ..functions.text import constant, explode_structs, let, split_lines, strip
-
-CONTEXT_CHARS = 200
-HINT_CHARS = 80
+from ..functions.text import constant, cut, explode_structs, let, split_lines, strip
+from ..limits import NONE, Limits
 
 # Literals that must occur in the file for a pattern to match; they only save work.
 ANCHORS: dict[str, list[str]] = {
@@ -41,7 +39,7 @@ ANCHORS: dict[str, list[str]] = {
 }
 
 
-def flow_array(content: Column) -> Column:
+def flow_array(content: Column, limits: Limits = NONE) -> Column:
     """``array<struct<line, ord, type, category, name, context, data_flow_hint>>``.
 
     The first match of each pattern per line counts; blank and comment lines do not.
@@ -76,11 +74,11 @@ def flow_array(content: Column) -> Column:
             lambda x: F.struct(
                 x.getField("line").alias("line"), p.getField("ord").alias("ord"), p.getField("type").alias("type"),
                 p.getField("category").alias("category"), p.getField("name").alias("name"),
-                F.substring(x.getField("stripped"), 1, CONTEXT_CHARS).alias("context"),
+                cut(x.getField("stripped"), limits.context).alias("context"),
                 F.when(
                     p.getField("hint") == 1,
-                    F.substring(
-                        strip(F.get(F.regexp_extract_all(x.getField("text"), p.getField("rx"), F.lit(1)), F.lit(0))), 1, HINT_CHARS
+                    cut(
+                        strip(F.get(F.regexp_extract_all(x.getField("text"), p.getField("rx"), F.lit(1)), F.lit(0))), limits.hint
                     ),
                 ).otherwise("").alias("data_flow_hint"),
             ),
@@ -90,15 +88,15 @@ def flow_array(content: Column) -> Column:
     return F.sort_array(found)
 
 
-def with_flows(assets: DataFrame) -> DataFrame:
+def with_flows(assets: DataFrame, limits: Limits = NONE) -> DataFrame:
     relevant = F.col("file_type").isin(code.DECODABLE_TYPES)
-    return assets.withColumn("_flows", F.when(relevant, flow_array(F.col("content"))))
+    return assets.withColumn("_flows", F.when(relevant, flow_array(F.col("content"), limits)))
 
 
-def sinks_sources(assets: DataFrame) -> DataFrame:
+def sinks_sources(assets: DataFrame, limits: Limits = NONE) -> DataFrame:
     """One row per pattern and line of script and markup files."""
     relevant = assets.where(F.col("file_type").isin(code.DECODABLE_TYPES)).select("asset_id", "file_type", "content")
-    return explode_structs(with_flows(relevant), "_flows", "asset_id").drop("ord")
+    return explode_structs(with_flows(relevant, limits), "_flows", "asset_id").drop("ord")
 
 
 def sink_source_summary(found: DataFrame) -> DataFrame:

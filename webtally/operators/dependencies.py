@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..catalog import code
 from ..catalog.vulns import KNOWN_VULNS, KnownVuln
 from ..functions.patterns import LinePattern, active_patterns, pattern_matches
-from ..functions.text import constant, explode_structs, first_by_key, let, reshape, strip
+from ..functions.text import constant, cut, explode_structs, first_by_key, let, reshape, strip
 from ..functions.versions import version_key
+from ..limits import NONE, Limits
 
 SECTIONS = ["dependencies", "devDependencies", "peerDependencies"]
 
@@ -91,7 +92,9 @@ def _package_name(module: Column) -> Column:
     ).otherwise(parts[0])
 
 
-def dependency_array(content: Column, file_type: Column, known: Sequence[KnownVuln] = KNOWN_VULNS) -> Column:
+def dependency_array(
+    content: Column, file_type: Column, known: Sequence[KnownVuln] = KNOWN_VULNS, limits: Limits = NONE
+) -> Column:
     """``array<struct<ord, name, version, source, vulnerable, cve>>`` of one file.
 
     ``ord`` is the order of discovery: manifest, script URLs, banners, imports.
@@ -125,7 +128,7 @@ def dependency_array(content: Column, file_type: Column, known: Sequence[KnownVu
             found, lambda m: entry(src, label, m.getField("id"), m.getField("pos"), m.getField("g1"), m.getField("g2"))
         )
 
-    top = F.substring(content, 1, code.BANNER_CHARS)
+    top = cut(content, limits.banner)
     everything = F.concat(
         F.coalesce(manifest, F.array()),
         matches(content, _WHOLE_TEXT, 2, "cdn"),
@@ -149,13 +152,17 @@ def dependency_array(content: Column, file_type: Column, known: Sequence[KnownVu
     return F.transform(F.sort_array(reshape(firsts, "ord", "name", "version", "source")), judge)
 
 
-def with_dependencies(assets: DataFrame, known: Sequence[KnownVuln] = KNOWN_VULNS) -> DataFrame:
-    return assets.withColumn("_dependencies", dependency_array(F.col("content"), F.col("file_type"), known))
+def with_dependencies(
+    assets: DataFrame, known: Sequence[KnownVuln] = KNOWN_VULNS, limits: Limits = NONE
+) -> DataFrame:
+    return assets.withColumn("_dependencies", dependency_array(F.col("content"), F.col("file_type"), known, limits))
 
 
-def dependencies(assets: DataFrame, known: Sequence[KnownVuln] = KNOWN_VULNS) -> DataFrame:
+def dependencies(
+    assets: DataFrame, known: Sequence[KnownVuln] = KNOWN_VULNS, limits: Limits = NONE
+) -> DataFrame:
     """One row per file and dependency; the first of each (lower name, version) wins."""
-    found = with_dependencies(assets.select("asset_id", "url", "file_type", "content"), known)
+    found = with_dependencies(assets.select("asset_id", "url", "file_type", "content"), known, limits)
     return explode_structs(found.withColumnRenamed("url", "source_url"), "_dependencies", "asset_id", "source_url")
 
 

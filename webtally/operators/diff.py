@@ -10,12 +10,13 @@ from ..schema import SEVERITIES, severity_rank
 from .findings import finding_key
 
 KEY = ["k_description", "k_source_url", "k_evidence"]
-EVIDENCE_CHARS = 80
 
 
-def keyed_findings(findings: DataFrame) -> DataFrame:
+def keyed_findings(findings: DataFrame, key_chars: int | None = None) -> DataFrame:
     """One finding per key; of several, the last in report order counts.
 
+    ``key_chars`` compares only so many characters of the evidence.
+
     ``max_by`` aggregates per task before the shuffle, so copies of one finding
     do not pile up in one place.
     """
@@ -26,19 +27,19 @@ def keyed_findings(findings: DataFrame) -> DataFrame:
     )
     fields = [c for c in ("severity", "category", "description", "evidence", "source_url", "line_number", "detector") if c in findings.columns]
     return (
-        findings.select(*finding_key(EVIDENCE_CHARS), F.struct(*fields).alias("f"), order.alias("o"))
+        findings.select(*finding_key(key_chars), F.struct(*fields).alias("f"), order.alias("o"))
         .groupBy(*KEY)
         .agg(F.max_by("f", "o").alias("f"))
     )
 
 
-def diff_findings(old: DataFrame, new: DataFrame) -> DataFrame:
+def diff_findings(old: DataFrame, new: DataFrame, key_chars: int | None = None) -> DataFrame:
     """One row per key with status new, resolved, changed or unchanged.
 
     Both sides have one row per key, so a single full outer join gives all parts.
     """
-    before = keyed_findings(old).withColumnRenamed("f", "old")
-    after = keyed_findings(new).withColumnRenamed("f", "new")
+    before = keyed_findings(old, key_chars).withColumnRenamed("f", "old")
+    after = keyed_findings(new, key_chars).withColumnRenamed("f", "new")
     joined = before.join(after, KEY, "full_outer")
     old_severity = F.coalesce(F.col("old.severity"), F.lit(""))
     new_severity = F.coalesce(F.col("new.severity"), F.lit(""))
@@ -69,10 +70,13 @@ def ranked_diff(diff: DataFrame) -> DataFrame:
 
 def diff_sets(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys added and removed: endpoints, files, (name, version) of dependencies."""
-    before, after = old.select(*keys).distinct(), new.select(*keys).distinct()
-    added = after.join(before, list(keys), "left_anti").withColumn("change", F.lit("added"))
-    removed = before.join(after, list(keys), "left_anti").withColumn("change", F.lit("removed"))
-    return added.unionByName(removed)
+    none, one = F.lit(0), F.lit(1)
+    both = old.select(*keys, one.alias("_old"), none.alias("_new")).unionByName(
+        new.select(*keys, none.alias("_old"), one.alias("_new"))
+    )
+    sides = both.groupBy(*keys).agg(F.max("_old").alias("_old"), F.max("_new").alias("_new"))
+    change = F.when(F.col("_old") == 0, "added").otherwise("removed")
+    return sides.where(F.col("_old") != F.col("_new")).select(*keys, change.alias("change"))
 
 
 def diff_counts(old_counts: DataFrame, new_counts: DataFrame) -> DataFrame:

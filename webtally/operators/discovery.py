@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
@@ -200,9 +201,12 @@ class _TextLengths(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[list] = []  # [tag, is_root, text length]
+        self.stack: list[list] = []  # [tag, is_root, text length before it]
+        self.open_tags: Counter[str] = Counter()
+        self.total = 0
         self.body: list | None = None
-        self.in_body = False
+        self.body_chars = 0
+        self.in_body = self.in_noscript = False
         self.roots: list[int] = []
         self.noscript: list | None = None
         self.noscript_text: list[str] = []
@@ -213,10 +217,9 @@ class _TextLengths(HTMLParser):
         self.buffer.clear()
         if not text or (self.stack and self.stack[-1][0] in self.SILENT):
             return
-        for frame in self.stack:
-            frame[2] += len(text)
-            if frame is self.noscript:
-                self.noscript_text.append(text)
+        self.total += len(text)
+        if self.in_noscript:
+            self.noscript_text.append(text)
 
     def handle_starttag(self, tag, attrs) -> None:
         self.flush()
@@ -227,7 +230,7 @@ class _TextLengths(HTMLParser):
             ident in self.ROOT_IDS or any(p in ident for p in self.ROOT_ID_PARTS)
             or tag == "app-root" or "ng-version" in named
         )
-        frame = [tag, root, 0]
+        frame = [tag, root, self.total]
         if tag in self.VOID:
             if root:
                 self.roots.append(0)
@@ -235,22 +238,27 @@ class _TextLengths(HTMLParser):
         if tag == "body" and self.body is None:
             self.body, self.in_body = frame, True
         if tag == "noscript" and inside and self.noscript is None:
-            self.noscript = frame
+            self.noscript, self.in_noscript = frame, True
         self.stack.append(frame)
+        self.open_tags[tag] += 1
 
     def handle_endtag(self, tag) -> None:
         self.flush()
-        if any(frame[0] == tag for frame in self.stack):
+        if self.open_tags[tag]:
             while self.close_last() != tag:
                 pass
 
     def close_last(self) -> str:
         frame = self.stack.pop()
-        if frame[1]:
-            self.roots.append(frame[2])
+        tag, root, before = frame
+        self.open_tags[tag] -= 1
+        if root:
+            self.roots.append(self.total - before)
         if frame is self.body:
-            self.in_body = False
-        return frame[0]
+            self.body_chars, self.in_body = self.total - before, False
+        if frame is self.noscript:
+            self.in_noscript = False
+        return tag
 
     def handle_data(self, data) -> None:
         self.buffer.append(data)
@@ -269,7 +277,7 @@ class _TextLengths(HTMLParser):
         return {
             "has_body": self.body is not None,
             "min_root": min(self.roots) if self.roots else None,
-            "body_chars": self.body[2] if self.body else 0,
+            "body_chars": self.body_chars,
             "noscript_hint": any(k in hint for k in ("javascript", "enable", "browser")),
         }
 

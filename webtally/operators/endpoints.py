@@ -13,7 +13,7 @@ from ..functions.text import explode_structs, first_by_key, let, reshape, split_
 ENDPOINTS: list[tuple[str, LinePattern]] = [
     ("fetch", LinePattern(code.ENDPOINT_FETCH, (1, 2), (("fetch",),), ignore_case=True)),
     ("axios", LinePattern(code.ENDPOINT_AXIOS, (2, 1), (("ax",),), ignore_case=True)),
-    ("axios_obj", LinePattern(code.ENDPOINT_AXIOS_OBJ, (1, 2), (("ax",),), ignore_case=True)),
+    ("axios_obj", LinePattern(code.ENDPOINT_AXIOS_OBJ, (1, 2), (("ax",), ("url",), ("method",)), ignore_case=True)),
     ("jquery", LinePattern(code.ENDPOINT_JQUERY, (1, 2), (("$.",),), ignore_case=True)),
     ("xhr", LinePattern(code.ENDPOINT_XHR, (2, 1), ((".open",),), ignore_case=True)),
     ("assignment", LinePattern(code.ENDPOINT_ASSIGNMENT, (1,), (("://", "/"),), ignore_case=True)),

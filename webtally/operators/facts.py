@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import code
 from ..functions.patterns import LinePattern, active_patterns, pattern_matches
-from ..functions.text import explode_structs, let, split_lines, strings, strip
-
-VALUE_CHARS = 150
+from ..functions.text import cut, explode_structs, let, split_lines, strings, strip
+from ..limits import NONE, Limits
 
 # kind and pattern, in report order; anchors are looked up in the lower-cased text
 FACTS: list[tuple[str, LinePattern]] = [
@@ -27,7 +26,7 @@ FACTS: list[tuple[str, LinePattern]] = [
 KINDS = [kind for kind, _ in FACTS]
 
 
-def fact_array(content: Column) -> Column:
+def fact_array(content: Column, limits: Limits = NONE) -> Column:
     """``array<struct<kind, line, pos, name, detail>>`` of one script file."""
     patterns = [p for _, p in FACTS]
     found = let(
@@ -41,7 +40,7 @@ def fact_array(content: Column) -> Column:
         kind = F.element_at(kinds, m.getField("id"))
         g1, g2, g3 = (m.getField(f"g{k}") for k in (1, 2, 3))
         value = F.rtrim(strip(F.coalesce(g2, F.lit(""))), F.lit(";,"))
-        value = F.when(F.length(value) > VALUE_CHARS, F.concat(F.substring(value, 1, VALUE_CHARS), F.lit("..."))).otherwise(value)
+        value = cut(value, limits.value, "...")
         is_import = kind.isin("es_import", "require")
         name = (
             F.when(is_import, g3)
@@ -66,13 +65,13 @@ def fact_array(content: Column) -> Column:
     return F.filter(facts, lambda f: (f.getField("kind") != "variable") | f.getField("name").rlike(keyword))
 
 
-def with_facts(assets: DataFrame) -> DataFrame:
+def with_facts(assets: DataFrame, limits: Limits = NONE) -> DataFrame:
     script = F.col("file_type").isin(code.SCRIPT_TYPES)
-    return assets.withColumn("_facts", F.when(script, fact_array(F.col("content"))))
+    return assets.withColumn("_facts", F.when(script, fact_array(F.col("content"), limits)))
 
 
-def code_facts(assets: DataFrame) -> DataFrame:
+def code_facts(assets: DataFrame, limits: Limits = NONE) -> DataFrame:
     """One row per fact. ``detail`` holds parameters, base class, value, imported
     names or HTTP method, depending on ``kind``."""
     script = assets.where(F.col("file_type").isin(code.SCRIPT_TYPES)).select("asset_id", "file_type", "content")
-    return explode_structs(with_facts(script), "_facts", "asset_id")
+    return explode_structs(with_facts(script, limits), "_facts", "asset_id")

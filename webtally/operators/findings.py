@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import cut
 from ..schema import severity_rank
 
 TEXT_FIELDS = ["severity", "category", "description", "evidence", "impact", "recommendation", "source_url", "file_type"]
@@ -17,8 +18,10 @@ def merge_findings(signature: DataFrame, reported: DataFrame) -> DataFrame:
     return signature.unionByName(other, allowMissingColumns=True)
 
 
-def dedupe_findings(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One finding per (by, url, evidence[:100], description), signature rows first (A2).
+def dedupe_findings(findings: DataFrame, by: Sequence[str] = (), key_chars: int | None = None) -> DataFrame:
+    """One finding per (by, url, evidence, description), signature rows first (A2).
+
+    ``key_chars`` compares only so many characters of the evidence.
 
     Catalyst limits each key to one row per task before the shuffle, so copies of
     one finding never meet in a single task.
@@ -30,7 +33,7 @@ def dedupe_findings(findings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     ]
     key = [
         *[F.col(c) for c in by],
-        F.coalesce("source_url", F.lit("")), F.substring(F.coalesce("evidence", F.lit("")), 1, 100),
+        F.coalesce("source_url", F.lit("")), cut(F.coalesce("evidence", F.lit("")), key_chars),
         F.coalesce("description", F.lit("")),
     ]
     window = Window.partitionBy(*key).orderBy(*order)
@@ -99,10 +102,10 @@ def exploitable(flows: DataFrame) -> DataFrame:
     return flows.where(F.col("exploitable"))
 
 
-def finding_key(evidence_chars: int) -> list[Column]:
-    """Description, URL and start of the evidence, missing values as ''."""
+def finding_key(evidence_chars: int | None = None) -> list[Column]:
+    """Description, URL and evidence (or its first characters), missing values as ''."""
     return [
         F.coalesce("description", F.lit("")).alias("k_description"),
         F.coalesce("source_url", F.lit("")).alias("k_source_url"),
-        F.substring(F.coalesce("evidence", F.lit("")), 1, evidence_chars).alias("k_evidence"),
+        cut(F.coalesce("evidence", F.lit("")), evidence_chars).alias("k_evidence"),
     ]

@@ -1,7 +1,6 @@
 """Signature detection.
 
-All rules run inside the row of their file: lines, matches, the cut of long
-evidence and the first-wins de-duplication are array expressions, so a scan is
+All rules run inside the row of their file: lines, matches and the first-wins de-duplication are array expressions, so a scan is
 one narrow projection. Nothing is shuffled, text never leaves its row, and the
 same plan runs on a stream.
 """
@@ -15,12 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..catalog.rules import RULES, Rule
 from ..functions import dialect
 from ..functions.patterns import LinePattern, active_patterns, pattern_matches
-from ..functions.text import constant, explode_structs, first_by_key, let, reshape, split_lines
+from ..functions.text import constant, cut, explode_structs, first_by_key, let, reshape, split_lines
+from ..limits import NONE, Limits
 from ..schema import severity_rank
 
-EVIDENCE_CHARS = 300
-KEY_CHARS = 100
-
 # Literals a text must contain, lower-cased, before a rule can match: one of
 # each group. They follow from the patterns and only save work.
 ANCHORS: dict[str, list[list[str]]] = {
@@ -99,6 +96,10 @@ ANCHORS: dict[str, list[list[str]]] = {
 # rules that start with an unlimited repeat of a class
 RUNS: dict[str, str] = {"Email Address": "[a-zA-Z0-9._%+-]"}
 
+# rules that match at most once in a line, since the match reaches to the last end
+# there is: where the first start in the line fails, no later one can match
+FIRST_STARTS: dict[str, str] = {"jQuery html() with Variable": r"\.\$\("}
+
 
 def rules_frame(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The catalogue as a table; rule_id is the position in the list, from 1."""
@@ -120,18 +121,17 @@ def _line_patterns(rules: Sequence[Rule], prefilter: bool) -> list[LinePattern]:
         return tuple(tuple(group) for group in ANCHORS[rule.name])
 
     return [
-        LinePattern(r.pattern, (1,), anchors(r), ignore_case=True, run=RUNS.get(r.name, "") if r in RULES else "")
+        LinePattern(
+            r.pattern, (1,), anchors(r), ignore_case=True, run=RUNS.get(r.name, "") if r in RULES else "",
+            first=FIRST_STARTS.get(r.name, "") if r in RULES else "",
+        )
         for r in rules
     ]
 
 
-def _cut(evidence: Column) -> Column:
-    return F.when(
-        F.length(evidence) > EVIDENCE_CHARS, F.concat(F.substring(evidence, 1, EVIDENCE_CHARS), F.lit("..."))
-    ).otherwise(evidence)
-
-
-def signature_hits(content: Column, rules: Sequence[Rule] = RULES, prefilter: bool = True) -> Column:
+def signature_hits(
+    content: Column, rules: Sequence[Rule] = RULES, prefilter: bool = True, limits: Limits = NONE
+) -> Column:
     """De-duplicated matches of one file: ``array<struct<rule_id, line, pos, evidence>>``."""
     patterns = _line_patterns(rules, prefilter)
     active = let(
@@ -143,18 +143,20 @@ def signature_hits(content: Column, rules: Sequence[Rule] = RULES, prefilter: bo
         found,
         lambda m: F.struct(
             m.getField("id").alias("rule_id"),
-            F.substring(m.getField("g1"), 1, KEY_CHARS).alias("key"),
+            cut(m.getField("g1"), limits.key).alias("key"),
             m.getField("line").alias("line"),
             m.getField("pos").alias("pos"),
-            _cut(m.getField("g1")).alias("evidence"),
+            cut(m.getField("g1"), limits.evidence, "...").alias("evidence"),
         ),
     )
     firsts = first_by_key(keyed, ["rule_id", "key"])
     return F.sort_array(reshape(firsts, "rule_id", "line", "pos", "evidence"))
 
 
-def with_signature_hits(assets: DataFrame, rules: Sequence[Rule] = RULES, prefilter: bool = True) -> DataFrame:
-    return assets.withColumn("_hits", signature_hits(F.col("content"), rules, prefilter))
+def with_signature_hits(
+    assets: DataFrame, rules: Sequence[Rule] = RULES, prefilter: bool = True, limits: Limits = NONE
+) -> DataFrame:
+    return assets.withColumn("_hits", signature_hits(F.col("content"), rules, prefilter, limits))
 
 
 def explode_hits(with_hits: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
@@ -186,10 +188,11 @@ def explode_hits(with_hits: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequ
 
 
 def scan_signatures(
-    assets: DataFrame, rules: Sequence[Rule] = RULES, prefilter: bool = True, keep: Sequence[str] = ()
+    assets: DataFrame, rules: Sequence[Rule] = RULES, prefilter: bool = True, keep: Sequence[str] = (),
+    limits: Limits = NONE,
 ) -> DataFrame:
     """All findings of all files. Reads ``asset_id, url, file_type, content`` and the
     columns in ``keep``, such as the target a file belongs to: carried along, they
     need no join later."""
     slim = assets.select("asset_id", "url", "file_type", "content", *keep)
-    return explode_hits(with_signature_hits(slim, rules, prefilter), rules, keep)
+    return explode_hits(with_signature_hits(slim, rules, prefilter, limits), rules, keep)

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import explode_structs
+from ..limits import NONE, Limits
 from ..operators.briefing import briefings, with_extracts
 from ..operators.normalization import normalize_content
 from ..operators.signatures import explode_hits
 
 
-def extract(assets: DataFrame) -> DataFrame:
+def extract(assets: DataFrame, limits: Limits = NONE) -> DataFrame:
     """Normalised text and all extractions of every file, one row per file.
 
     This is the expensive pass over the text. On large data write it once and
     build the tables below from the written copy, which then reads only the arrays
     a table needs.
     """
-    return with_extracts(normalize_content(assets))
+    return with_extracts(normalize_content(assets), limits=limits)
 
 
-def tables(extracts: DataFrame) -> dict[str, DataFrame]:
+def tables(extracts: DataFrame, limits: Limits = NONE) -> dict[str, DataFrame]:
     """The result tables of an audit over the rows of ``extract``."""
     return {
         "findings": explode_hits(extracts),
@@ -32,7 +33,7 @@ def tables(extracts: DataFrame) -> dict[str, DataFrame]:
             extracts.withColumnRenamed("url", "source_url"), "_dependencies", "asset_id", "source_url"
         ),
         "sinks_sources": explode_structs(extracts, "_flows", "asset_id").drop("ord"),
-        "briefings": briefings(extracts).select("asset_id", "url", "file_type", "briefing"),
+        "briefings": briefings(extracts, limits=limits).select("asset_id", "url", "file_type", "briefing"),
         "files": extracts.select(
             "asset_id", "url", "file_type", F.length("content").alias("size"),
             F.size("_hits").cast("bigint").alias("sig_findings_count"),
@@ -40,5 +41,5 @@ def tables(extracts: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def audit(assets: DataFrame) -> dict[str, DataFrame]:
-    return tables(extract(assets))
+def audit(assets: DataFrame, limits: Limits = NONE) -> dict[str, DataFrame]:
+    return tables(extract(assets, limits), limits)

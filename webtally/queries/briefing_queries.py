@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import code
-from ..operators.briefing import CAPS, briefings, with_extracts
+from ..operators.briefing import briefings, with_extracts
 from ..operators.facts import KINDS
 from ..plans.audit import extract, tables
 from ..session import shared_folder
 from ..sources.assets import spread_small
 from .code_queries import BASE_SQL, DEPS_SQL, ENDPOINT_SQL, FACT_SQL, FLOW_SQL
-from .corpus import CODE_SQL, LEAKY_SQL, code_files, leaky_files, quote
+from .corpus import AS_SHOWN, CODE_SQL, LEAKY_SQL, code_files, leaky_files, quote
 from .oracle import findings_ctes
 from .registry import query
 
@@ -37,7 +37,7 @@ def listed(rows: str, text: str, order: str, cap: str) -> str:
     """First rows of every file as lines of text."""
     return (
         f"SELECT asset_id, string_agg({text}, chr(10) ORDER BY {order}) AS t FROM "
-        f"(SELECT * FROM {rows} QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY {order}) <= {CAPS[cap]}) GROUP BY asset_id"
+        f"(SELECT * FROM {rows} QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY {order}) <= {AS_SHOWN.entries[cap]}) GROUP BY asset_id"
     )
 
 
@@ -82,7 +82,7 @@ FROM assets a LEFT JOIN s1 USING (asset_id) LEFT JOIN s2 USING (asset_id) LEFT J
 
 @query("l1_briefings", BRIEFING_SQL)
 def _(spark, sf_dir):
-    return briefings(with_extracts(all_files(spark, sf_dir))).select("asset_id", "url", "briefing")
+    return briefings(with_extracts(all_files(spark, sf_dir), limits=AS_SHOWN), limits=AS_SHOWN).select("asset_id", "url", "briefing")
 
 
 @query(
@@ -96,7 +96,7 @@ def _(spark, sf_dir):
     The derived files hold nothing that normalisation changes.
     """
     folder = f"{shared_folder(spark)}/extracts-{uuid.uuid4().hex}"
-    extract(all_files(spark, sf_dir)).write.parquet(folder)
+    extract(all_files(spark, sf_dir), AS_SHOWN).write.parquet(folder)
     result = tables(spark.read.parquet(folder))
     counts = [t.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, t in result.items() if name != "briefings"]
     merged = counts[0]

@@ -19,7 +19,7 @@ from ..operators.facts import KINDS, code_facts
 from ..operators.normalization import normalize_content
 from ..sources.assets import spread_small
 from .corpus import (
-    CODE_SQL, LINES_SQL, MANIFEST_NAMES, MANIFEST_SPECS, code_files, manifest_files, quote, table,
+    AS_SHOWN, CODE_SQL, LINES_SQL, MANIFEST_NAMES, MANIFEST_SPECS, code_files, manifest_files, quote, table,
 )
 from .oracle import all_matches, re2
 from .registry import query
@@ -71,7 +71,7 @@ for _kind, _name in FACT_IDS.items():
 
     @query(_name, f"{BASE_SQL} SELECT {FACT_COLUMNS.format(kind=_kind)} FROM ({FACT_SQL[_kind]})")
     def _(spark, sf_dir, kind=_kind):
-        return code_facts(files(spark, sf_dir)).where(F.col("kind") == kind)
+        return code_facts(files(spark, sf_dir), AS_SHOWN).where(F.col("kind") == kind)
 
 
 @query(
@@ -79,7 +79,7 @@ for _kind, _name in FACT_IDS.items():
     f"{BASE_SQL} " + " UNION ALL ".join(f"SELECT {FACT_COLUMNS.format(kind=k)} FROM ({FACT_SQL[k]})" for k in KINDS),
 )
 def _(spark, sf_dir):
-    return code_facts(files(spark, sf_dir))
+    return code_facts(files(spark, sf_dir), AS_SHOWN)
 
 
 # -- endpoints -----------------------------------------------------------------------
@@ -177,7 +177,7 @@ def _(spark, sf_dir):
 SELECT asset_id, name, version, 'package.json' AS source, cve IS NOT NULL AS vulnerable, coalesce(cve, '') AS cve FROM deps LEFT JOIN matched USING (dep_id)""",
 )
 def _(spark, sf_dir):
-    return dependencies(manifest_files(spark, sf_dir)).select("asset_id", "name", "version", "source", "vulnerable", "cve")
+    return dependencies(manifest_files(spark, sf_dir), limits=AS_SHOWN).select("asset_id", "name", "version", "source", "vulnerable", "cve")
 
 
 def _deps(rows: str, text: str, pattern: str, src: int, i: int, ignore_case: bool = False) -> str:
@@ -188,7 +188,7 @@ _PKG = "CASE WHEN starts_with(g1, '@') AND contains(g1, '/') THEN split_part(g1,
 DEPS_SQL = f"""{BASE_SQL}, raw AS ({' UNION ALL '.join(
     [_deps('assets', 'content', p, 2, i) for i, p in enumerate(code.DEPENDENCY_CDN, 1)]
     + [_deps('assets', 'content', code.DEPENDENCY_SCRIPT_NAME, 2, 5, True)]
-    + [_deps('assets', f'substr(content, 1, {code.BANNER_CHARS})', p, 3, i) for i, p in enumerate(code.DEPENDENCY_BANNER, 1)]
+    + [_deps('assets', f'substr(content, 1, {AS_SHOWN.banner})', p, 3, i) for i, p in enumerate(code.DEPENDENCY_BANNER, 1)]
     + [f"SELECT asset_id, 4, 1, pos, {_PKG}, 'unknown' FROM ({all_matches('assets', 'content', code.DEPENDENCY_IMPORT, [1], 'asset_id')})"]
 )}),
 deps AS MATERIALIZED (SELECT *, row_number() OVER () AS dep_id FROM (SELECT * FROM raw WHERE name <> '' AND NOT (src = 3 AND name = 'unknown')
@@ -200,14 +200,14 @@ judged AS (SELECT asset_id, src, a, b, name, version, ['package.json', 'cdn', 'i
 
 @query("p2_p8_code_dependencies", DEPS_SQL + "SELECT asset_id, name, version, source, vulnerable, cve FROM judged")
 def _(spark, sf_dir):
-    return dependencies(files(spark, sf_dir)).select("asset_id", "name", "version", "source", "vulnerable", "cve")
+    return dependencies(files(spark, sf_dir), limits=AS_SHOWN).select("asset_id", "name", "version", "source", "vulnerable", "cve")
 
 
 for _id, _source in (("p2_p3_script_urls", "cdn"), ("p4_banners", "inline_banner"), ("p5_imports", "import")):
 
     @query(_id, DEPS_SQL + f"SELECT asset_id, name, version FROM judged WHERE source = '{_source}'")
     def _(spark, sf_dir, source=_source):
-        return dependencies(files(spark, sf_dir)).where(F.col("source") == source).select("asset_id", "name", "version")
+        return dependencies(files(spark, sf_dir), limits=AS_SHOWN).where(F.col("source") == source).select("asset_id", "name", "version")
 
 
 @query(
@@ -274,12 +274,12 @@ flows AS ({' UNION ALL '.join(_flow(i, p) for i, p in enumerate(code.FLOW_PATTER
 
 @query("k1_k25_sinks_sources", FLOW_SQL + "SELECT * FROM flows")
 def _(spark, sf_dir):
-    return sinks_sources(files(spark, sf_dir))
+    return sinks_sources(files(spark, sf_dir), AS_SHOWN)
 
 
 @query("k26_sink_source_summary", FLOW_SQL + "SELECT asset_id, type, category, count(*) AS n FROM flows GROUP BY ALL")
 def _(spark, sf_dir):
-    return sink_source_summary(sinks_sources(files(spark, sf_dir)))
+    return sink_source_summary(sinks_sources(files(spark, sf_dir), AS_SHOWN))
 
 
 # -- normalisation: encode the rows of a table, decode them again ---------------------------

@@ -10,6 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import strings
+from ..limits import Limits
+
+# How much of each value results and briefings show.
+AS_SHOWN = Limits(
+    evidence=300, key=100, value=150, banner=5000, context=200, hint=80,
+    entries={
+        "findings": 20, "endpoints": 30, "dependencies": 20, "sinks": 20, "sources": 20,
+        "routes": 10, "variables": 10, "functions": 15, "classes": 10,
+    },
+    shown_value=80, shown_evidence=80, shown_context=100, content=15000,
+)
 
 # placeholders: {k} key, {w} word of the row, {hN}/{HN} N hex digits of md5(key)
 DIGITS = (4, 6, 8, 11, 12, 16, 22, 32)

@@ -11,7 +11,7 @@ from ..session import shared_folder
 from ..sources import store
 from ..sources.assets import documents_as_assets, stream_source
 from ..streaming import jobs
-from .corpus import table
+from .corpus import AS_SHOWN, table
 from .registry import query
 from .signature_queries import DOC_FINDINGS_SQL, document_findings
 
@@ -148,7 +148,7 @@ def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w7_signatures_stream", DOC_FINDINGS_SQL + f"SELECT {STREAM_FINDINGS} FROM findings")
 def _(spark, sf_dir):
-    return _run(spark, jobs.stream_signatures(document_stream(spark, sf_dir)).select(*STREAM_FINDINGS.split(", ")))
+    return _run(spark, jobs.stream_signatures(document_stream(spark, sf_dir), AS_SHOWN).select(*STREAM_FINDINGS.split(", ")))
 
 
 @query(
@@ -161,8 +161,8 @@ def _(spark, sf_dir):
     assets = documents.select(
         F.col("doc_id").alias("asset_id"), F.col("source").alias("url"), F.lit("txt").alias("file_type"), F.col("text").alias("content")
     )
-    found = jobs.stream_signatures(assets).withColumn("ts", F.timestamp_micros(F.lit(BASE_US) + F.col("asset_id")))
-    unique = jobs.stream_unique_findings(found)
+    found = jobs.stream_signatures(assets, AS_SHOWN).withColumn("ts", F.timestamp_micros(F.lit(BASE_US) + F.col("asset_id")))
+    unique = jobs.stream_unique_findings(found, key_chars=100)
     return _run(spark, unique.select("source_url", F.substring("evidence", 1, 100).alias("evidence"), "description"))
 
 

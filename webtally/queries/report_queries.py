@@ -15,7 +15,7 @@ from ..operators.briefing import prompts
 from ..operators.signatures import scan_signatures
 from ..sources.assets import documents_as_assets, spread_small
 from ..sources.store import report_counts, report_json
-from .corpus import LEAKY_SQL, leaky_files, table
+from .corpus import AS_SHOWN, LEAKY_SQL, leaky_files, table
 from .oracle import findings_ctes, rank
 from .registry import query
 from .signature_queries import LEAKY_FINDINGS_SQL, leaky_findings
@@ -150,16 +150,16 @@ def old_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_signatures(spread_small(revised_files(spark, sf_dir)), RERATED)
+    return scan_signatures(spread_small(revised_files(spark, sf_dir)), RERATED, limits=AS_SHOWN)
 
 
 def scan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.diff_findings(old_findings(spark, sf_dir), new_findings(spark, sf_dir))
+    return X.diff_findings(old_findings(spark, sf_dir), new_findings(spark, sf_dir), key_chars=80)
 
 
 @query("x1_keyed_findings", DIFF_SQL + "SELECT description AS k_description, source_url AS k_source_url, k_evidence, severity, line_number, evidence FROM o")
 def _(spark, sf_dir):
-    keyed = X.keyed_findings(old_findings(spark, sf_dir))
+    keyed = X.keyed_findings(old_findings(spark, sf_dir), key_chars=80)
     return keyed.select(*X.KEY, "f.severity", "f.line_number", "f.evidence")
 
 
@@ -417,7 +417,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     documents = spread_small(table(spark, sf_dir, "documents"))
     briefed = documents_as_assets(documents, F.col("source").alias("briefing"))
-    return prompts(briefed).select("asset_id", "url", "file_type", F.md5("prompt").alias("prompt_md5"))
+    return prompts(briefed, AS_SHOWN).select("asset_id", "url", "file_type", F.md5("prompt").alias("prompt_md5"))
 
 
 def responses_table(spark: SparkSession, sf_dir: str) -> DataFrame:

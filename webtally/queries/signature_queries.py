@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import findings as A
 from ..operators.signatures import rules_frame, scan_signatures
 from ..sources.assets import documents_as_assets, pages_as_assets, spread_small
-from .corpus import LEAKY_SQL, leaky_files, table
+from .corpus import AS_SHOWN, LEAKY_SQL, leaky_files, table
 from .oracle import findings_ctes, rank
 from .registry import query
 
@@ -30,11 +30,11 @@ def page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_signatures(document_assets(spark, sf_dir))
+    return scan_signatures(document_assets(spark, sf_dir), limits=AS_SHOWN)
 
 
 def leaky_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_signatures(spread_small(leaky_files(spark, sf_dir)))
+    return scan_signatures(spread_small(leaky_files(spark, sf_dir)), limits=AS_SHOWN)
 
 
 @query("g1_signature_hits_documents", DOC_FINDINGS_SQL + f"SELECT {FINDING_COLUMNS} FROM findings")
@@ -44,7 +44,7 @@ def _(spark, sf_dir):
 
 @query("g1_signature_hits_pages", "WITH " + findings_ctes(PAGE_ASSETS_SQL) + f"SELECT {FINDING_COLUMNS} FROM findings")
 def _(spark, sf_dir):
-    return scan_signatures(page_assets(spark, sf_dir))
+    return scan_signatures(page_assets(spark, sf_dir), limits=AS_SHOWN)
 
 
 @query("g1_r1_r60_signature_hits_files", LEAKY_FINDINGS_SQL + f"SELECT {FINDING_COLUMNS} FROM findings")
@@ -87,7 +87,7 @@ def _(spark, sf_dir):
     LEAKY_FINDINGS_SQL + "SELECT source_url, count(*) AS n, sum(rule_id)::BIGINT AS rule_sum, sum(line_number)::BIGINT AS line_sum FROM findings GROUP BY source_url",
 )
 def _(spark, sf_dir):
-    found = scan_signatures(spread_small(leaky_files(spark, sf_dir)), prefilter=False)
+    found = scan_signatures(spread_small(leaky_files(spark, sf_dir)), prefilter=False, limits=AS_SHOWN)
     return found.groupBy("source_url").agg(
         F.count("*").alias("n"), F.sum("rule_id").alias("rule_sum"), F.sum("line_number").alias("line_sum")
     )
@@ -129,7 +129,7 @@ def merged_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduped_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.dedupe_findings(merged_findings(spark, sf_dir))
+    return A.dedupe_findings(merged_findings(spark, sf_dir), key_chars=100)
 
 
 MERGED_COLUMNS = "asset_id, severity, category, description, evidence, source_url, file_type, detector, line_number"
@@ -167,7 +167,7 @@ TARGET_SQL = DOC_FINDINGS_SQL + """, targeted AS (SELECT f.*, d.source AS target
 def targeted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document findings with the document's source as target, carried through the scan."""
     documents = spread_small(table(spark, sf_dir, "documents"))
-    return scan_signatures(documents_as_assets(documents, F.col("source").alias("target")), keep=["target"])
+    return scan_signatures(documents_as_assets(documents, F.col("source").alias("target")), keep=["target"], limits=AS_SHOWN)
 
 
 @query(

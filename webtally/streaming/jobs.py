@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.text import cut
+from ..limits import NONE, Limits
 from ..operators.guards import SECOND, LockoutState, RateState, attempt_keys, audit_counts, requests_per_minute
 from ..operators.signatures import scan_signatures
 
@@ -98,14 +100,17 @@ def stream_audit_counts(audit: DataFrame, delay: str = DELAY) -> DataFrame:
     return counted.select(F.col("w.start").alias("start"), "action", "severity", "n")
 
 
-def stream_signatures(assets: DataFrame) -> DataFrame:
+def stream_signatures(assets: DataFrame, limits: Limits = NONE) -> DataFrame:
     """Findings of newly arrived files (W7): the batch plan as it is, without state."""
-    return scan_signatures(assets)
+    return scan_signatures(assets, limits=limits)
 
 
-def stream_unique_findings(findings: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop findings seen within the delay before (W8). Needs an event time ``ts``."""
-    key = findings.withColumn("_evidence", F.substring("evidence", 1, 100))
+def stream_unique_findings(findings: DataFrame, delay: str = "1 hour", key_chars: int | None = None) -> DataFrame:
+    """Drop findings seen within the delay before (W8). Needs an event time ``ts``.
+
+    ``key_chars`` compares only so many characters of the evidence.
+    """
+    key = findings.withColumn("_evidence", cut(F.col("evidence"), key_chars))
     return (
         key.withWatermark("ts", delay)
         .dropDuplicatesWithinWatermark(["source_url", "_evidence", "description"])
