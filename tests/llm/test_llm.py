@@ -203,6 +203,15 @@ def test_op5_dense_bucket_emits_a_tree():
     assert len(a) == len(words) - 1 and len(set(a.tolist()) | set(b.tolist())) == len(words)
 
 
+def test_op5_links_become_stars(spark):
+    node = np.array([50, 40, 30, 20, 10, 5, 7], np.int64)
+    tied = simhash.stars(np.array([0, 1, 2, 5]), np.array([1, 2, 3, 6]), node)
+    assert tied.tolist() == [[5, 7], [20, 30], [20, 40], [20, 50]]
+    pairs = spark.createDataFrame([(k, n) for n in range(100, 200) for k in range(5)], "a bigint, b bigint")
+    merged = {tuple(r) for r in simhash.merged_stars(pairs).collect()}
+    assert merged == {(0, n) for n in [1, 2, 3, 4, *range(100, 200)]}
+
+
 def test_op5_blocks_find_every_close_pair():
     rng = np.random.default_rng(2)
     one = rng.integers(0, 2**64, 400, dtype=np.uint64)

@@ -183,8 +183,29 @@ def bucket_links(keys: np.ndarray, words: np.ndarray, radius: int) -> tuple[np.n
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def stars(a: np.ndarray, b: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Rows (smaller, node): what links (rows a, rows b) connect, each node tied to the smallest it is connected with."""
+    label = np.arange(len(node))
+    while True:
+        low = np.minimum(label[a], label[b])
+        moved = label.copy()
+        np.minimum.at(moved, a, low)
+        np.minimum.at(moved, b, low)
+        moved = moved[moved]
+        if np.array_equal(moved, label):
+            break
+        label = moved
+    least = node.copy()
+    np.minimum.at(least, label, node)
+    tied = np.column_stack([least[label], node])
+    return np.unique(tied[tied[:, 0] != tied[:, 1]], axis=0)
+
+
 def links(distinct: DataFrame, bits: int, radius: int, keys: Callable[[np.ndarray], Iterator[np.ndarray]]) -> DataFrame:
-    """Links between distinct fingerprints (``fp``) as pairs of nodes ``a``, ``b``."""
+    """Links that connect distinct fingerprints (``fp``) as pairs of nodes ``a`` < ``b``.
+
+    A bucket ties each node to one smaller node, so a node has at most as many smaller neighbours as there are keys.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,8 +225,7 @@ def links(distinct: DataFrame, bits: int, radius: int, keys: Callable[[np.ndarra
             if cut == 0:
                 return rest, None
             a, b = bucket_links(keys_[:cut], words[:cut], radius)
-            node = nodes_of(words[:cut])
-            pairs = np.unique(np.sort(np.column_stack([node[a], node[b]]), axis=1), axis=0)
+            pairs = stars(a, b, nodes_of(words[:cut]))
             return rest, pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -223,10 +243,21 @@ def links(distinct: DataFrame, bits: int, radius: int, keys: Callable[[np.ndarra
     return sorted_.mapInArrow(meet, "a bigint, b bigint")
 
 
+def merged_stars(pairs: DataFrame) -> DataFrame:
+    """The same connections with fewer links: the smaller neighbours of a node are tied to the smallest of them.
+
+    Buckets repeat the links of a dense group once a key, each around another node; here they fall together. The list of
+    a node is bounded by the number of keys.
+    """
+    around = pairs.groupBy("b").agg(F.collect_set("a").alias("smaller"), F.min("a").alias("a"))
+    others = F.filter(F.array_append("smaller", F.col("b")), lambda n: n != F.col("a"))
+    return around.select("a", F.explode(others).alias("b")).distinct()
+
+
 def grouped(docs: DataFrame, size: int, bits: int, radius: int, keys, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row key, fingerprint and ``component``, a number that connected rows share."""
     rows = written(fingerprints(docs, size, bits, id_col, text_col), "fingerprints")
-    found = components(links(rows.select("fp").distinct(), bits, radius, keys))
+    found = components(merged_stars(links(rows.select("fp").distinct(), bits, radius, keys)))
     joined = rows.join(found.withColumnRenamed("label", "component"), "node", "left")
     return joined.select("doc_id", "k_id", "k_text", "fp", F.coalesce("component", "node").alias("component"))
 
