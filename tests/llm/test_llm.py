@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webtally.llm import anchors, bpe, bpe_codec, decontaminate, pii, quality, queries, repeats, sharding, simhash, token_counts, toxicity
+from webtally.llm import anchors, bpe, bpe_codec, decontaminate, pii, quality, queries, repeats, sharding, simhash, similar, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, key string, g long, node long, k_id long, n long, size long, words string, place int"
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -232,6 +232,43 @@ def test_near_duplicate_stage(docs):
     assert 5 in ids and 7 not in ids and 10 in ids and not set(range(20, 26)) & set(ids) and ids.count(13) == 1
 
 
+def changed_texts():
+    """Texts and copies with some words changed, so that similarities lie on both sides of 0.8; some groups are dense."""
+    rnd = random.Random(11)
+    say = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    out, common = [], say(150)
+    for _ in range(150):
+        words = say(rnd.randint(40, 120))
+        out.append(words)
+        for _ in range(2):
+            copy = list(words)
+            for at in rnd.sample(range(len(copy)), round(len(copy) * rnd.uniform(0.01, 0.05))):
+                copy[at] = "changed" + str(rnd.randrange(99))
+            out.append(copy)
+    for n in (8, 15, 22):  # one common passage, with own words behind it
+        out += [common + say(n) for _ in range(40)]
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("small,rounds", [(64, 2), (1, 2), (4, 0)])
+def test_near_duplicates_are_exact(spark, monkeypatch, small, rounds):
+    monkeypatch.setattr(similar, "SMALL", small)
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    data = changed_texts()
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in data]
+    group, near, wide = list(range(len(sets))), 0, 0
+    for a in range(len(sets)):
+        for b in range(a):
+            alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            near, wide = near + (0.8 <= alike < 0.85), wide + (0.7 <= alike < 0.8)
+            if alike >= 0.8 and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    assert near > 50 and wide > 50
+    kept = simhash.one_of_each_group(spark.createDataFrame(data, "doc_id long, text string").repartition(5))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({g: i for i, g in reversed(list(enumerate(group)))}.values())
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

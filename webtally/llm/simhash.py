@@ -90,21 +90,6 @@ def block_keys(radius: int, blocks: int, agree: int) -> Callable[[np.ndarray], I
     return keys
 
 
-def drawn_keys(bits: int, draws: int, width: int) -> Callable[[np.ndarray], Iterator[np.ndarray]]:
-    """Bucket keys of long fingerprints: ``draws`` sets of ``width`` bits, drawn once with a fixed seed."""
-    rng = np.random.default_rng(5)
-    sets = [np.sort(rng.choice(bits, width, replace=False)) for _ in range(draws)]
-
-    def keys(words: np.ndarray) -> Iterator[np.ndarray]:
-        for n, drawn in enumerate(sets):
-            key = np.full(len(words), np.uint64(n + 1))
-            for bit in drawn:
-                key = (key << np.uint64(1)) | (words[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)
-            yield mixed(key)
-
-    return keys
-
-
 def _words(column: pa.Array, bits: int) -> np.ndarray:
     """Fingerprints of a batch as rows of 64-bit words."""
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, bits // 64)
@@ -269,17 +254,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str
     return rows.join(first, "component").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(
-    docs: DataFrame, size: int = 5, bits: int = 256, radius: int = 44, draws: int = 40, width: int = 18,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
+def one_of_each_group(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, of which each group of near duplicates keeps the smallest id.
 
-    Two sets of shingles with similarity 0.8 have fingerprints that differ in 15 % of their bits on average; the radius
-    is 17 %. ``draws`` sets of ``width`` bits find such a pair with a chance of over 0.9, closer ones nearly always; a
-    larger corpus needs a larger width and more draws.
+    Near duplicates have sets of ``size``-word shingles with a Jaccard similarity of 0.8 or more, decided on the sets
+    themselves, not on fingerprints; a group is what such pairs connect.
     """
-    rows = grouped(docs, size, bits, radius, drawn_keys(bits, draws, width), id_col, text_col)
+    from .similar import similar_groups  # it uses the shingles of this module
+
+    rows = written(similar_groups(docs, size, id_col, text_col), "groups")
     stays = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k_id", "k_text")).alias("s"))
     stays = stays.select("s.k_id", "s.k_text").withColumnRenamed("k_id", "__k_id").withColumnRenamed("k_text", "__k_text")
     keyed = docs.withColumns({"__k_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))), "__k_text": F.xxhash64(F.col(text_col).cast("string"))})
