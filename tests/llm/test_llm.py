@@ -378,6 +378,20 @@ def test_op3_distinct_entities_stay_distinct(spark):
     assert all(len(v) == 1 for v in names.values()) and len({min(v) for v in names.values()}) == len(names)
 
 
+def test_op3_ends_where_no_surrogate_of_the_shape_is_left(spark):
+    fields = ["Password: ____________", "Key: --------", "token = ........", "KEY:=========="]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.com" for a in letters for b in letters]
+    data = list(enumerate([*fields, *(f"from {m.upper() if i % 5 == 0 else m} now" for i, m in enumerate(mails)), "to _@-.com now"]))
+    out = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(data, "doc_id long, text string"), "k").collect()}
+    assert len(out) == len(data)
+    for i, field in enumerate(fields):
+        told = re.match(r"\w+ ?[:=] ?", field)[0]
+        assert re.fullmatch(re.escape(told) + "[a-z]{%d}" % (len(field) - len(told)), out[i])
+    got = [re.fullmatch(r"(?:from|to) (\S+@\S+\.com) now", out[i].lower())[1] for i in range(len(fields), len(data))]
+    assert len(set(got)) == len(mails) + 1 and not set(got) & {*mails, "_@-.com"}
+
+
 def test_op10_learns_and_spares(spark):
     rnd = random.Random(9)
     vocabulary = ["".join(rnd.choice("abdeinorst") for _ in range(6)) for _ in range(400)]

@@ -6,8 +6,9 @@ a valid check digit where the card had one, a given name of the gender the title
 surrogate in its own format.
 
 All distinct entities of the corpus are checked together: of entities with one surrogate the first keeps it, and a
-surrogate that is itself an entity is given up; the others draw again until none is left. So distinct entities stay
-distinct and every mention of one entity, in any document, gets one surrogate.
+surrogate that is itself an entity is given up; the others draw again until none is left. After a few rounds surrogates
+grow by a drawn character a round, so that the forms of a shape never run out. So distinct entities stay distinct and every
+mention of one entity, in any document, gets one surrogate.
 
 Null texts stay null, empty ones empty, texts without entities are unchanged. Rows that repeat in id and text get equal
 results. An empty table gives an empty result. Work per row is linear in its text.
@@ -54,6 +55,8 @@ ALPHABETS = {
     "[α-ω]": "αβγδεζηθικλμνξοπρστυφχψω", "[Α-Ω]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 }
 BY_DIGITS = ("phone", "ssn", "card")
+#: Rounds in which surrogates keep the length of what they replace.
+SAME_LENGTH = 4
 
 
 def _picked(alphabet: str, h: Column) -> Column:
@@ -126,11 +129,19 @@ def surrogate(kind: Column, normal: Column, gender: Column, attempt: Column, key
         first = F.when(kind == "aws_key", 4).when(kind == "iban", 2).when((kind == "phone") & normal.startswith("+"), 2).when(kind == "card", 1).otherwise(0)
         last = F.when(kind == "email", F.length(normal) - F.length(F.substring_index(normal, ".", -1))).otherwise(F.length(normal))
         plain = _drawn(chars, seed, first, last, (kind == "secret") & normal.rlike("^[0-9a-f]+$"))
-        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.xxhash64(seed, i), F.lit(254)) + 1).cast("string")), ".")
+        # a value of signs alone, such as a line to fill in, has nothing of these classes: each sign by a letter
+        signs = F.array_join(F.transform(chars, lambda c, i: _picked(ALPHABETS["[a-z]"], F.xxhash64(seed, i))), "")
+        plain = F.when((kind == "secret") & ~normal.rlike("[A-Za-z0-9]"), signs).otherwise(plain)
+        extra = lambda alphabet: F.when(attempt >= SAME_LENGTH, F.array_join(F.transform(
+            F.sequence(F.lit(1), F.greatest(attempt - SAME_LENGTH + 1, F.lit(1))), lambda i: _picked(alphabet, F.xxhash64(seed, F.lit(200) + i))), "")).otherwise("")
+        digits, letters = extra("0123456789"), extra(ALPHABETS["[a-z]"])
+        plain = F.when(kind == "email", F.concat(letters, plain)).when(kind.isin(*BY_DIGITS, "iban", "aws_key") | normal.rlike("^[0-9a-f]+$"), F.concat(plain, digits)).otherwise(F.concat(plain, letters))
+        name = F.concat(_named(seed, normal, gender), F.when(normal.rlike(r"[Ѐ-ӿ]"), extra(ALPHABETS["[а-яё]"])).otherwise(letters))
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3) + F.greatest(attempt - SAME_LENGTH + 1, F.lit(0))), lambda i: (F.pmod(F.xxhash64(seed, i), F.lit(254)) + 1).cast("string")), ".")
         card = let(plain, lambda s: let(F.left(s, F.length(s) - 1), lambda body: F.when(
             _luhn(_digits(normal)) == 0, F.concat(body, ((10 - _luhn(_digits(F.concat(body, F.lit("0"))))) % 10).cast("string"))
         ).otherwise(s)))
-        return F.when(kind == "ipv4", octets).when(kind == "person", _named(seed, normal, gender)).when(kind == "card", card).otherwise(plain)
+        return F.when(kind == "ipv4", octets).when(kind == "person", name).when(kind == "card", card).otherwise(plain)
 
     return let(F.xxhash64(F.lit(key), kind, normal, attempt), lambda seed: made(seed))
 
@@ -145,7 +156,9 @@ def rendered(kind: Column, mention: Column, normal: Column, replacement: Column)
         place = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), f"[^{symbols}]", ""))
         return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(f"[{symbols}]"), F.substring(replacement, place(i), F.lit(1))).otherwise(c)), "")
 
-    return F.when(kind == "email", by_case).when(kind.isin(*BY_DIGITS), filled("0-9+")).when(kind == "iban", filled("A-Z0-9")).otherwise(
+    # what a surrogate has beyond the length of its entity follows
+    more = F.substring(replacement, F.length(normal) + 1, F.greatest(F.length(replacement) - F.length(normal), F.lit(0)))
+    return F.when(kind == "email", F.concat(by_case, more)).when(kind.isin(*BY_DIGITS), F.concat(filled("0-9+"), more)).when(kind == "iban", F.concat(filled("A-Z0-9"), more)).otherwise(
         F.concat(F.left(mention, F.length(mention) - F.length(normal)), replacement)  # what told of it stays
     )
 
