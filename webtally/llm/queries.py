@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import anchors, bpe_codec, decontaminate, pii, quality, repeats, sharding, simhash, token_counts, toxicity
+from . import anchors, bpe_codec, clustering, decontaminate, edit_embedding, negatives, pii, quality, repeats, sharding, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,54 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_texts(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), 0.3)
+
+
+NEGATIVES_SQL = """
+WITH kept AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+ list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score
+ FROM kept a JOIN kept r ON r.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+ QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id))::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM near JOIN scored s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query("op11_multi_index", NEGATIVES_SQL)
+def _(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_edit_embedding")
+def _(spark, sf_dir):
+    return edit_embedding.with_edits(table(spark, sf_dir, "documents"))
+
+
+def _round(n: int) -> str:
+    """One round of assignments to the centroids ``c{n}``, and the centroids after it."""
+    return f"""
+a{n} AS (SELECT v.vec_id, c.k, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT AS distance
+ FROM kept v CROSS JOIN c{n} c QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY distance, c.k) = 1),
+m{n} AS (SELECT k, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{n} JOIN kept USING (vec_id) CROSS JOIN range(1, 65) t(i) GROUP BY k, i),
+c{n + 1} AS (SELECT k, coalesce(m.q, c.q) AS q FROM c{n} c LEFT JOIN
+ (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS q FROM m{n} GROUP BY k) m USING (k))"""
+
+
+CLUSTERS_SQL = f"""
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+ WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, q FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{",".join(_round(n) for n in range(4))}
+SELECT vec_id, k::INT AS cluster, distance, sum(distance) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+ sha256(array_to_string(q, ',')) AS centroid_sha256 FROM a3 JOIN c3 USING (k)
+"""
+
+
+@query("op13_threshold_centroids", CLUSTERS_SQL)
+def _(spark, sf_dir):
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
