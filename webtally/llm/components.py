@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import discarded, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         moved = nearest.join(jump, "label", "left").select("node", F.least("label", "further").alias("label"))
         moved = written(moved, "labels")
         before = labels.select("node", F.col("label").alias("was"))
-        if moved.join(before, "node").filter("label <> was").isEmpty():
+        ended = moved.join(before, "node").filter("label <> was").isEmpty()
+        discarded(labels)
+        if ended:
+            discarded(edges)
             return moved
         labels = moved

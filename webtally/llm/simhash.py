@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import keyed_rows, mixed, shuffle_partitions, texts_of, written
+from .common import NO_ID, keyed_rows, mixed, shuffle_partitions, texts_of, written
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -264,6 +264,11 @@ def one_of_each_group(docs: DataFrame, size: int = 5, id_col: str = "doc_id", te
 
     rows = written(similar_groups(docs, size, id_col, text_col), "groups")
     stays = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k_id", "k_text")).alias("s"))
-    stays = stays.select("s.k_id", "s.k_text").withColumnRenamed("k_id", "__k_id").withColumnRenamed("k_text", "__k_text")
-    keyed = docs.withColumns({"__k_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))), "__k_text": F.xxhash64(F.col(text_col).cast("string"))})
-    return keyed.join(stays, ["__k_id", "__k_text"], "left_semi").dropDuplicates(["__k_id", "__k_text"]).drop("__k_id", "__k_text")
+    stays = stays.select(F.col("s.k_id").alias("id"), F.col("s.k_text").alias("hash"))
+    # all columns of the rows travel as one, so that none can have the name of another one here
+    held = docs.select(
+        F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    kept = held.join(stays, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
