@@ -254,8 +254,10 @@ def _searched(rows: DataFrame, benchmark: DataFrame, window: int, text_col: str,
     What one block finds goes to the next with the rows; the last pass finishes them.
     """
     none = Phrases(np.zeros(0, np.uint64), np.zeros((0, window), np.int64), np.zeros(0, np.int64), [])
+    n_columns, longest = len(rows.columns), max(rows.columns, key=len)
+    more_names = (f"{longest}_spans", f"{longest}_items")  # of no column here
     for last, phrases in _numbered(blocks_of_phrases(benchmark, window), none):
-        carried = "__spans" in rows.columns
+        carried = len(rows.columns) > n_columns
 
         def run(batches: Iterator[pa.RecordBatch], phrases=phrases, last=last, carried=carried) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(phrases)
@@ -263,16 +265,16 @@ def _searched(rows: DataFrame, benchmark: DataFrame, window: int, text_col: str,
                 found = list(shards(batch.column(text_col).to_pylist(), searcher))
                 words, spans, items = ([f[i] for f in found] for i in range(3))
                 if carried:
-                    spans = [a + b for a, b in zip(batch.column("__spans").to_pylist(), spans)]
-                    items = [a + b for a, b in zip(batch.column("__items").to_pylist(), items)]
-                    batch = batch.select([n for n in batch.schema.names if n not in ("__spans", "__items")])
+                    spans = [a + b for a, b in zip(batch.column(n_columns).to_pylist(), spans)]
+                    items = [a + b for a, b in zip(batch.column(n_columns + 1).to_pylist(), items)]
+                    batch = batch.select(list(range(n_columns)))
                 if last:
                     yield finish(batch, words, spans, items)
                 else:
                     more = [pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "__spans", "__items"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *more_names])
 
-        wider = rows if carried else rows.withColumns({"__spans": F.array().cast("array<bigint>"), "__items": F.array().cast("array<string>")})
+        wider = rows if carried else rows.withColumns({more_names[0]: F.array().cast("array<bigint>"), more_names[1]: F.array().cast("array<string>")})
         rows = rows.mapInArrow(run, schema) if last else written(rows.mapInArrow(run, wider.schema), "searched")
     return rows
 

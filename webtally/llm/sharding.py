@@ -1,10 +1,10 @@
 """Shards of near equal size by sampled splitters (operator 7, DataFrame functions only).
 
-Rows are ordered by (hash of the text, id): equal texts lie together, everything else is spread evenly. A sample in which
+Rows are ordered by (hash of the text, id, place in a written table): equal texts lie together, everything else is spread evenly. A sample in which
 a row's chance grows with its size gives the quantile boundaries of many ranges, some for each shard. The ranges are then
 measured over all rows; those over their size are divided again by a sample of their own. Consecutive ranges are dealt to
 the shards by their cumulative size. A boundary falls between texts, unless one text alone fills more than a range: then
-it falls between the ids of its copies, so that no shard and no task gets all of them.
+it falls between its copies, by id and, where ids repeat too, by place, so that no shard and no task gets all of them.
 
 A null text has no bytes and the hash of null; null ids come first. Repeated rows are rows of their own, with slots of
 their own. An empty table gives an empty result; other columns are ignored.
@@ -26,7 +26,7 @@ RANGES_PER_SHARD, SAMPLES_PER_RANGE, OVERFULL = 64, 24, 2.0
 #: Rounds of dividing; more are needed only where sizes inside a range are very uneven.
 ROUNDS = 3
 
-Splitter = tuple[int, int]
+Splitter = tuple[int, int, int]
 
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,50 +35,46 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return document_rows(docs, id_col, text_col).select(
         "doc_id", (text_bytes(text) + ROW_BYTES).alias("size"), F.crc32(utf8(text)).alias("text_crc32"),
         F.xxhash64("text").alias("k"), F.coalesce("doc_id", F.lit(NO_ID)).alias("i"),
+        F.monotonically_increasing_id().alias("r"),
     )
 
 
 def _sampled(rows: DataFrame, step: float, seed: int) -> DataFrame:
     """Each row as often as its size makes it cross a multiple of ``step``, from a start that its key and id decide."""
-    start = F.pmod(F.xxhash64(F.lit(seed), "k", "i"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.withColumn("n", F.floor(F.col("size") / F.lit(step) + start)).filter("n > 0").select("k", "i", "n")
+    start = F.pmod(F.xxhash64(F.lit(seed), "k", "i", "r"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.withColumn("n", F.floor(F.col("size") / F.lit(step) + start)).filter("n > 0").select("k", "i", "r", "n")
 
 
-def _boundaries(sample: list[tuple[int, int, int]], ranges: int, open_at: Splitter | None = None) -> list[Splitter]:
+def _boundaries(sample: list[tuple[int, int, int, int]], ranges: int, open_at: Splitter | None = None) -> list[Splitter]:
     """Quantiles of a weighted sample. A boundary within one text moves to its start unless the text has several."""
     ordered = sorted(sample)
-    total = sum(n for _, _, n in ordered)
+    total = sum(n for *_, n in ordered)
     found: list[Splitter] = []
     seen, target = 0, 1
-    for k, i, n in ordered:
+    for k, i, r, n in ordered:
         seen += n
         while target < ranges and seen * ranges > total * target:
-            found.append((k, i))
+            found.append((k, i, r))
             target += 1
     found = sorted(set(found))
     out: list[Splitter] = []
-    for k, i in found:
-        alone = sum(1 for other, _ in found if other == k) == 1 if len(found) < 4096 else _count(found, k) == 1
-        out.append((k, NO_ID) if alone else (k, i))
-        if not alone and (k, NO_ID) not in out[-2:]:
-            out.insert(-1, (k, NO_ID))
+    for k, i, r in found:
+        start = (k, NO_ID, -1)
+        alone = bisect_right(found, (k, 1 << 63, 0)) - bisect_right(found, start) == 1
+        out += [start] if alone else [start, (k, i, r)]
     return sorted(set(out) - {open_at})
 
 
-def _count(ordered: list[Splitter], k: int) -> int:
-    return bisect_right(ordered, (k, 1 << 63)) - bisect_right(ordered, (k, -(1 << 63) - 1))
-
-
 def _at_or_before(splitters: list[Splitter]) -> Column:
     """How many splitters are at or before a row: two looks at short arrays instead of one at a long one."""
     if not splitters:
         return F.lit(0)
     width = max(1, int(len(splitters) ** 0.5))
     blocks = [splitters[a : a + width] for a in range(0, len(splitters), width)]
-    pair = lambda s: {"k": s[0], "i": s[1]}
-    row = F.struct(F.col("k").alias("k"), F.col("i").alias("i"))
-    heads = constant([pair(b[0]) for b in blocks], "array<struct<k:bigint,i:bigint>>")
-    inner = constant([[pair(s) for s in b] for b in blocks], "array<array<struct<k:bigint,i:bigint>>>")
+    triple = lambda s: dict(zip("kir", s))
+    row = F.struct("k", "i", "r")
+    heads = constant([triple(b[0]) for b in blocks], "array<struct<k:bigint,i:bigint,r:bigint>>")
+    inner = constant([[triple(s) for s in b] for b in blocks], "array<array<struct<k:bigint,i:bigint,r:bigint>>>")
     upto = lambda array: F.size(F.filter(array, lambda s: s <= row))
     block = upto(heads)
     return F.when(block == 0, 0).otherwise((block - 1) * width + upto(F.get(inner, block - 1)))
@@ -96,7 +92,7 @@ def split_points(rows: DataFrame, shards: int) -> tuple[list[Splitter], list[tup
         return [], []
     step = total / (ranges * SAMPLES_PER_RANGE)
     # at most total / step + 1 draws: their number does not grow with the data
-    sample = [tuple(r) for r in _sampled(rows, step, 0).select("k", "i", F.col("n").cast("bigint")).collect()]
+    sample = [tuple(r) for r in _sampled(rows, step, 0).select("k", "i", "r", F.col("n").cast("bigint")).collect()]
     splitters = _boundaries(sample, ranges)
     full = OVERFULL * total / ranges
     for round_ in range(ROUNDS + 1):
@@ -108,8 +104,8 @@ def split_points(rows: DataFrame, shards: int) -> tuple[list[Splitter], list[tup
         inside = _in_range(rows, splitters).filter(F.col("range").isin(list(over)))
         drawn = _sampled(inside.drop("range"), step / 4, round_ + 1)
         by_range: dict[int, list] = {}
-        for k, i, n in drawn.select("k", "i", F.col("n").cast("bigint")).collect():
-            by_range.setdefault(bisect_right(splitters, (k, i)), []).append((k, i, n))
+        for k, i, r, n in drawn.select("k", "i", "r", F.col("n").cast("bigint")).collect():
+            by_range.setdefault(bisect_right(splitters, (k, i, r)), []).append((k, i, r, n))
         more = set(splitters)
         for r, size in over.items():
             more.update(_boundaries(by_range.get(r, []), max(2, round(2 * size * ranges / total))))
@@ -137,7 +133,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     shard_of, slot_of = _dealt(measured, shards)
     last = max(shard_of, default=0) + 1
     lookup = lambda of: F.get(constant([of.get(r, 0) for r in range(last)], "array<bigint>"), F.col("range"))
-    within = Window.partitionBy("range").orderBy("k", "i")
+    within = Window.partitionBy("range").orderBy("k", "i", "r")
     placed = _in_range(rows, splitters).withColumn("place", F.row_number().over(within) - 1)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), lookup(shard_of).cast("int").alias("shard"),
