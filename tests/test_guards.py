@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webtally.operators import guards as G
+from webtally.operators import automata as A, guards as G
 from webtally.streaming import jobs
 
 US = 1_000_000
@@ -150,8 +151,8 @@ def test_lockouts_as_stream(spark, tmp_path):
         chunk = source.where((F.col("event_id") >= part * 150) & (F.col("event_id") < (part + 1) * 150))
         chunk.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
-    jobs.run_to_end(jobs.stream_lockouts(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-    assert verdicts(spark.read.parquet(str(tmp_path / "out"))) == sequential_lockouts(rows)
+    jobs.run_lockouts(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert verdicts(jobs.read_lockouts(spark, str(tmp_path / "out"))) == sequential_lockouts(rows)
 
 
 def test_rate_limit_as_stream(spark, tmp_path):
@@ -161,11 +162,85 @@ def test_rate_limit_as_stream(spark, tmp_path):
         chunk = source.where((F.col("event_id") >= part * 100) & (F.col("event_id") < (part + 1) * 100))
         chunk.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    jobs.run_to_end(jobs.stream_rate_limit(stream, 3, 60), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = sorted((r.user_id, r.event_id, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    jobs.run_rate_limit(stream, str(tmp_path / "out"), str(tmp_path / "state"), 3, 60)
+    got = sorted((r.user_id, r.event_id, r.allowed) for r in jobs.read_rate_limit(spark, str(tmp_path / "out")).collect())
     assert got == sequential_rate(rows, 3, 60)
 
 
+def test_late_rows_have_a_verdict(spark, tmp_path):
+    """A second batch with rows from before the first one: they are late, and nothing else changes."""
+    rows = random_attempts(300, seed=8)
+    late = [(1000 + i, BASE * US + i * US, "10.0.0.1", "u0", False) for i in range(20)]
+    after = [(2000 + i, rows[-1][1] + 5000 * US + i * US, "10.0.0.1", "new", False) for i in range(8)]
+    for n, part in enumerate((rows, late + after)):
+        attempts_frame(spark, part).drop("us").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        stream = spark.readStream.schema("event_id long, ip string, username string, success boolean, ts timestamp").parquet(str(tmp_path / "in" / "*"))
+        jobs.run_lockouts(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = verdicts(jobs.read_lockouts(spark, str(tmp_path / "out")))
+    assert len(got) == 2 * (len(rows) + len(late) + len(after))
+    assert [v for v in got if v[1] < 1000 or v[1] >= 2000] == sequential_lockouts(rows + after)
+    assert {v for k, e, v in got if 1000 <= e < 2000} == {"late"}
+
+
+def test_unique_findings_as_stream(spark, tmp_path):
+    rows = [("u", "e", "d", 100), ("u", "e", "d", 100), ("u", "f", None, 5000), ("u", "e", "d", 90), ("u", "f", None, 1), ("v", "e", "d", 2), ("u", "e", "d", 20_000)]
+    for n, part in enumerate((rows[:3], rows[3:6], rows[6:])):  # the second batch is older than the first
+        frame = spark.createDataFrame(part, "source_url string, evidence string, description string, s long").select("*", F.timestamp_seconds("s").alias("ts")).drop("s")
+        frame.coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+        stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in" / "*"))
+        jobs.run_unique_findings(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out" / "batch=*")).select("source_url", "evidence", "description").collect()
+    # none is lost; the one of 90 s came after more than an hour of event time
+    assert sorted(map(tuple, got), key=repr) == [("u", "e", "d"), ("u", "e", "d"), ("u", "e", "d"), ("u", "f", None), ("v", "e", "d")]
+
+
+@pytest.mark.parametrize("machine", ["lockout", "rate"])
+def test_hot_key_in_several_tasks(spark, machine):
+    """One key that never pauses has most events; its pieces are judged apart and equal the sequential judgement."""
+    rng = random.Random(9)
+    now, attempts, requests = BASE * US, [], []
+    for i in range(6000):
+        now += rng.randrange(1, 3 * US)
+        attempts.append((i, now, "10.0.0.1", f"u{i % 500}", rng.random() < 0.01))
+        requests.append((i, 7 if rng.random() < 0.8 else i % 5, now))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        if machine == "lockout":
+            assert verdicts(G.lockouts(attempts_frame(spark, attempts))) == sequential_lockouts(attempts)
+            keyed = G.attempt_keys(attempts_frame(spark, attempts)).withColumnRenamed("success", "flag")
+            rows = A.judged(keyed, A.Lockout(5, 300 * US, 900 * US))
+            assert rows.filter("key = 'ip:10.0.0.1'").select("piece").distinct().count() > 2
+        else:
+            got = G.rate_limit(requests_frame(spark, requests), 9, 60)
+            assert sorted((r.user_id, r.event_id, r.allowed) for r in got.collect()) == sequential_rate(requests, 9, 60)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_lock_shorter_than_the_window(spark):
+    rows = random_attempts(500, seed=10)
+    got = verdicts(G.lockouts(attempts_frame(spark, rows), 3, 300, 60))
+    assert got == sequential_lockouts(rows, 3, 300, 60)
+
+
+def test_summaries_follow_any_state():
+    """What a summary says of a piece is what its events do, from every state and cut."""
+    for trial in range(1500):
+        rng = random.Random(trial)
+        machine = A.Lockout(rng.choice([1, 2, 3, 5]), rng.choice([10, 30]), rng.choice([30, 40, 90])) if trial % 2 else A.Rate(rng.choice([1, 3, 6]), rng.choice([5, 20]))
+        us = np.cumsum([rng.choice([0, 1, 1, 2, 5, 12, 50]) if rng.random() < 0.9 else 100 for _ in range(rng.randint(2, 60))])
+        flag = np.array([rng.random() < rng.choice([0, 0.05, 0.3]) for _ in us])
+        cuts, state = sorted(rng.sample(range(1, len(us)), min(len(us) - 1, 4))), None
+        for a, b in zip([0, *cuts], [*cuts, len(us)]):
+            want = machine.begin(state)
+            for t, ok in zip(us[a:b].tolist(), flag[a:b].tolist()):
+                machine.step(want, t, ok)
+            state = machine.follow(machine.summary(us[a:b], flag[a:b]), state)
+            one, two = machine.begin(want), machine.begin(state)
+            for later in (0, 0, 1, 2, 3, 5, 9, 12, 30, 31, 45, 80, 95):
+                assert machine.step(one, int(us[b - 1]) + later, False) == machine.step(two, int(us[b - 1]) + later, False)
+
+
 def test_windowed_streams(spark, tmp_path):
     """Closed windows and sessions equal the batch; a last far event closes the others."""
     rows = request_rows(300, seed=7)

@@ -1,18 +1,17 @@
 """Login lockout, rate limits and sessions over event tables (W1–W6, batch).
 
-The state machines are sequential per key, but their state dies in a long enough
-pause. Events are cut at such pauses first, so that a busy key becomes many
-independent segments spread over the cluster, and segments reach Python as a
-stream of Arrow batches, never as one frame.
+The state machines (``automata``) run over pieces of sorted events, whatever key
+they belong to. Sessions cut a key's events at pauses within time buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .automata import Lockout, Rate, judged
+
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
 
@@ -57,56 +56,8 @@ def pause_segments(events: DataFrame, keys: Sequence[str], min_gap: int, bucket:
     )
 
 
-def judge_in_order(
-    cut: DataFrame, key: str, new_state: Callable[[], object], step: Callable[[object, tuple], object],
-    fields: Sequence[str], out: Sequence[str], schema: str,
-) -> DataFrame:
-    """Run a state machine over the events of every (key, segment) in time order.
-
-    Segments are placed by hash and sorted within their partition; one pass over
-    the partition starts a new state at every new segment. There is no cost per
-    segment, and memory holds one Arrow batch whatever a segment's length.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for batch in batches:
-            verdicts = []
-            for row in zip(batch[key], batch["segment"], *[batch[f] for f in fields]):
-                if row[:2] != current:
-                    current, state = row[:2], new_state()
-                verdicts.append(step(state, row[2:]))
-            yield batch[list(out[:-1])].assign(**{out[-1]: verdicts})
-
-    placed = cut.repartition(key, "segment").sortWithinPartitions(key, "segment", "us", "event_id")
-    return placed.mapInPandas(run, schema)
-
-
 # -- lockout (W1) --------------------------------------------------------------
 
-class LockoutState:
-    """Failures of one key and the end of its lockout, times in µs."""
-
-    def __init__(self, max_attempts: int, window: int, lockout: int, failures=(), locked_until: int = 0):
-        self.max_attempts, self.window, self.lockout = max_attempts, window, lockout
-        self.failures = list(failures)
-        self.locked_until = locked_until
-
-    def attempt(self, now: int, success: bool) -> str:
-        """``blocked``, ``success``, ``failure`` or ``locked`` (this failure locks)."""
-        if now < self.locked_until:
-            return "blocked"
-        self.locked_until = 0
-        if success:
-            self.failures = []
-            return "success"
-        self.failures = [t for t in self.failures if t > now - self.window] + [now]
-        if len(self.failures) >= self.max_attempts:
-            self.locked_until = now + self.lockout
-            return "locked"
-        return "failure"
-
-
 def attempt_keys(attempts: DataFrame) -> DataFrame:
     """Each attempt once under its address and once under its user name."""
     keys = F.array(F.concat(F.lit("ip:"), "ip"), F.concat(F.lit("user:"), "username"))
@@ -119,19 +70,11 @@ def attempt_keys(attempts: DataFrame) -> DataFrame:
 def lockouts(attempts: DataFrame, max_attempts: int = 5, window: int = 300, lockout: int = 900) -> DataFrame:
     """Verdict per attempt and key (W1). Input: ``event_id, ts, ip, username, success``.
 
-    After a pause as long as the window and the lockout nothing is remembered, so
-    segments are independent. Address and user keys are judged independently.
+    Address and user keys are judged independently. A key is judged in as many pieces as its events need.
     """
-    window_us, lockout_us = window * SECOND, lockout * SECOND
-    cut = pause_segments(attempt_keys(attempts), ["key"], max(window_us, lockout_us))
-
-    return judge_in_order(
-        cut, "key",
-        lambda: LockoutState(max_attempts, window_us, lockout_us),
-        lambda state, row: state.attempt(int(row[0]), bool(row[1])),
-        ["us", "success"], ["key", "event_id", "us", "success", "verdict"],
-        "key string, event_id bigint, us bigint, success boolean, verdict string",
-    )
+    machine = Lockout(max_attempts, window * SECOND, lockout * SECOND)
+    keyed = attempt_keys(attempts).withColumnRenamed("success", "flag")
+    return judged(keyed, machine).filter("kind = 1").select("key", "event_id", "us", F.col("flag").alias("success"), "verdict")
 
 
 def recent_failures(attempts: DataFrame, window: int = 300) -> DataFrame:
@@ -158,35 +101,15 @@ def recent_failures(attempts: DataFrame, window: int = 300) -> DataFrame:
 
 # -- rate limit (W3, W4) ---------------------------------------------------------
 
-class RateState:
-    """Anchored window of one user: it starts with a request, not with the clock."""
-
-    def __init__(self, limit: int, span: int, start: int | None = None, count: int = 0):
-        self.limit, self.span, self.start, self.count = limit, span, start, count
-
-    def request(self, now: int) -> bool:
-        if self.start is None or now - self.start > self.span:
-            self.start, self.count = now, 1
-            return True
-        if self.count >= self.limit:
-            return False
-        self.count += 1
-        return True
+def timed_requests(requests: DataFrame) -> DataFrame:
+    key = F.col("user_id").cast("string").alias("key")
+    return requests.select(key, event_micros(requests).alias("us"), "event_id", F.lit(False).alias("flag"))
 
 
 def rate_limit(requests: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
     """Whether each request is allowed (W3). Input: ``event_id, ts, user_id``."""
-    span = seconds * SECOND
-    timed = requests.select("event_id", "user_id", event_micros(requests).alias("us"))
-    cut = pause_segments(timed, ["user_id"], span + 1)
-
-    return judge_in_order(
-        cut, "user_id",
-        lambda: RateState(limit, span),
-        lambda state, row: state.request(int(row[0])),
-        ["us"], ["user_id", "event_id", "us", "allowed"],
-        "user_id bigint, event_id bigint, us bigint, allowed boolean",
-    )
+    rows = judged(timed_requests(requests), Rate(limit, seconds * SECOND)).filter("kind = 1")
+    return rows.select(F.col("key").cast("bigint").alias("user_id"), "event_id", "us", F.col("verdict").alias("allowed"))
 
 
 def requests_per_minute(requests: DataFrame) -> DataFrame:

@@ -129,13 +129,40 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, ddl: str) -> DataFrame:
 
 @query("w1_lockouts_stream", LOCKOUT_SQL + "SELECT key, event_id, us, success, verdict FROM judged")
 def _(spark, sf_dir):
-    return _run(spark, jobs.stream_lockouts(as_attempts(_stream(spark, sf_dir, "events", EVENTS))))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    jobs.run_lockouts(as_attempts(_stream(spark, sf_dir, "events", EVENTS)), f"{folder}/out", f"{folder}/state")
+    return jobs.read_lockouts(spark, f"{folder}/out")
 
 
 @query("w3_rate_limit_stream", RATE_SQL + "SELECT user_id, event_id, us, allowed FROM judged")
 def _(spark, sf_dir):
     requests = bursts(_stream(spark, sf_dir, "events", EVENTS), REQUEST_FACTOR)
-    return _run(spark, jobs.stream_rate_limit(requests.select("event_id", "user_id", "ts")))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    jobs.run_rate_limit(requests.select("event_id", "user_id", "ts"), f"{folder}/out", f"{folder}/state")
+    return jobs.read_rate_limit(spark, f"{folder}/out").drop("late")
+
+
+LATE_SQL = f"""WITH RECURSIVE late_events AS (SELECT * FROM ({burst_sql(REQUEST_FACTOR)})),
+halves AS (SELECT *, event_id % 2 = 1 AS second, max(us) FILTER (event_id % 2 = 0) OVER (PARTITION BY user_id) AS last_us FROM late_events),
+marked AS (SELECT *, second AND coalesce(us < last_us, false) AS late FROM halves),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY second, us, event_id) AS rn FROM marked WHERE NOT late),
+judged(user_id, event_id, us, rn, start, n, allowed) AS (SELECT user_id, event_id, us, rn, us, 1, true FROM numbered WHERE rn = 1
+ UNION ALL SELECT r.user_id, r.event_id, r.us, r.rn, CASE WHEN r.us - j.start > 60000000 THEN r.us ELSE j.start END,
+  CASE WHEN r.us - j.start > 60000000 THEN 1 WHEN j.n >= 30 THEN j.n ELSE j.n + 1 END, r.us - j.start > 60000000 OR j.n < 30
+ FROM judged j JOIN numbered r ON r.user_id = j.user_id AND r.rn = j.rn + 1)
+SELECT user_id, event_id, us, allowed, false AS late FROM judged UNION ALL SELECT user_id, event_id, us, NULL, true FROM marked WHERE late"""
+
+
+@query("w3_rate_limit_late_rows", LATE_SQL)
+def _(spark, sf_dir):
+    """Even ids arrive first, odd ones in a second batch: most of those are late, and each has its row."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    requests = bursts(table(spark, sf_dir, "events"), REQUEST_FACTOR).select("event_id", "user_id", "ts")
+    for part in (0, 1):
+        requests.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{folder}/in/{part}")
+        stream = spark.readStream.schema(requests.schema).parquet(f"{folder}/in/*")
+        jobs.run_rate_limit(stream, f"{folder}/out", f"{folder}/state")
+    return jobs.read_rate_limit(spark, f"{folder}/out")
 
 
 DOCUMENTS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
@@ -162,8 +189,10 @@ def _(spark, sf_dir):
         F.col("doc_id").alias("asset_id"), F.col("source").alias("url"), F.lit("txt").alias("file_type"), F.col("text").alias("content")
     )
     found = jobs.stream_signatures(assets, AS_SHOWN).withColumn("ts", F.timestamp_micros(F.lit(BASE_US) + F.col("asset_id")))
-    unique = jobs.stream_unique_findings(found, key_chars=100)
-    return _run(spark, unique.select("source_url", F.substring("evidence", 1, 100).alias("evidence"), "description"))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    jobs.run_unique_findings(found.select("source_url", "evidence", "description", "ts"), f"{folder}/out", f"{folder}/state", key_chars=100)
+    unique = spark.read.schema("source_url string, evidence string, description string, ts timestamp").parquet(f"{folder}/out/batch=*")
+    return unique.select("source_url", F.substring("evidence", 1, 100).alias("evidence"), "description")
 
 
 # -- sinks ----------------------------------------------------------------------------------

@@ -2,83 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import cut
 from ..limits import NONE, Limits
-from ..operators.guards import SECOND, LockoutState, RateState, attempt_keys, audit_counts, requests_per_minute
+from ..operators.automata import Lockout, Rate, judged, last_states
+from ..operators.guards import HOUR, SECOND, attempt_keys, audit_counts, requests_per_minute, timed_requests
 from ..operators.signatures import scan_signatures
+from ..session import reliable_checkpoint
 
 DELAY = "10 minutes"
 
 
-def _arm(state: GroupState, until_us: int) -> None:
-    """Let the state go once the watermark passes the time it can still matter."""
-    state.setTimeoutTimestamp(max(until_us // 1000, state.getCurrentWatermarkMs()) + 1)
+def run_judged(stream: DataFrame, machine, path: str, checkpoint: str, keep: int = 24 * HOUR) -> StreamingQuery:
+    """Judge a stream of events (key, us, event_id, flag) batch by batch into ``path``; every event gets a row.
+
+    Each batch is judged as the batch job does it, in pieces, from the states the batch before has left. States are tables
+    by batch, so a batch that is run again reads what it read before and replaces what it wrote. An event earlier than
+    the last judged one of its key can change nothing any more: its row says so (``late``) and has no verdict. A key
+    without events for ``keep`` µs of event time is forgotten. Verdicts and states are folders by batch.
+    """
 
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        states = spark.createDataFrame([], STATES) if batch_id == 0 else spark.read.schema(STATES).parquet(f"{checkpoint}/states/batch={batch_id - 1}")
+        events = batch.join(states.select("key", "last_us"), "key", "left").withColumn("late", F.coalesce(F.col("us") < F.col("last_us"), F.lit(False)))
+        events = reliable_checkpoint(events)
+        rows = reliable_checkpoint(judged(events.filter("not late"), machine, states))
+        verdicts = rows.filter("kind = 1").select("key", "event_id", "us", "flag", F.lit(False).alias("late"), "verdict")
+        late = events.filter("late").select("key", "event_id", "us", "flag", "late", F.lit(None).cast(machine.verdict).alias("verdict"))
+        verdicts.unionByName(late).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        new = last_states(rows)
+        now = rows.agg(F.max("us")).first()[0] or 0
+        rest = states.join(new, "key", "left_anti").filter(F.col("last_us") > now - keep)
+        new.unionByName(rest).write.mode("overwrite").parquet(f"{checkpoint}/states/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
-def _in_time_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Rows of one key in one micro-batch, whose size the source limits."""
-    return pd.concat(list(frames)).sort_values(["us", "event_id"], kind="stable")
 
+VERDICTS = "key string, event_id bigint, us bigint, flag boolean, late boolean, verdict"
+STATES = "key string, state array<bigint>, last_us bigint"
 
-def stream_lockouts(
-    attempts: DataFrame, max_attempts: int = 5, window: int = 300, lockout: int = 900, delay: str = DELAY
-) -> DataFrame:
+
+def run_lockouts(attempts: DataFrame, path: str, checkpoint: str, max_attempts: int = 5, window: int = 300, lockout: int = 900) -> StreamingQuery:
     """Verdict per attempt and key, with state kept across micro-batches."""
-    window_us, lockout_us = window * SECOND, lockout * SECOND
-    keyed = attempt_keys(attempts).withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", delay)
-
-    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        failures, locked_until = state.get if state.exists else ([], 0)
-        guard = LockoutState(max_attempts, window_us, lockout_us, failures, locked_until)
-        rows = _in_time_order(frames)
-        verdicts = [guard.attempt(int(us), bool(ok)) for us, ok in zip(rows["us"], rows["success"])]
-        state.update((guard.failures, guard.locked_until))
-        _arm(state, max(int(rows["us"].iloc[-1]) + window_us, guard.locked_until))
-        yield rows[["key", "event_id", "us", "success"]].assign(verdict=verdicts)
-
-    return keyed.groupBy("key").applyInPandasWithState(
-        judge,
-        "key string, event_id bigint, us bigint, success boolean, verdict string",
-        "failures array<bigint>, locked_until bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    machine = Lockout(max_attempts, window * SECOND, lockout * SECOND)
+    return run_judged(attempt_keys(attempts).withColumnRenamed("success", "flag"), machine, path, checkpoint)
+
+
+def read_lockouts(spark: SparkSession, path: str) -> DataFrame:
+    """key, event_id, us, success and verdict of all batches; the verdict of a late attempt is ``late``."""
+    rows = spark.read.schema(f"{VERDICTS} string").parquet(f"{path}/batch=*")
+    return rows.select("key", "event_id", "us", F.col("flag").alias("success"), F.when(F.col("late"), "late").otherwise(F.col("verdict")).alias("verdict"))
 
 
-def stream_rate_limit(requests: DataFrame, limit: int = 30, seconds: int = 60, delay: str = DELAY) -> DataFrame:
+def run_rate_limit(requests: DataFrame, path: str, checkpoint: str, limit: int = 30, seconds: int = 60) -> StreamingQuery:
     """Whether each request is allowed, with state kept across micro-batches."""
-    span = seconds * SECOND
-    timed = requests.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-
-    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, count = state.get if state.exists else (None, 0)
-        guard = RateState(limit, span, start, count)
-        rows = _in_time_order(frames)
-        allowed = [guard.request(int(us)) for us in rows["us"]]
-        state.update((guard.start, guard.count))
-        _arm(state, guard.start + span)
-        yield rows[["user_id", "event_id", "us"]].assign(allowed=allowed)
-
-    return timed.groupBy("user_id").applyInPandasWithState(
-        judge,
-        "user_id bigint, event_id bigint, us bigint, allowed boolean",
-        "start bigint, count int",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    return run_judged(timed_requests(requests), Rate(limit, seconds * SECOND), path, checkpoint)
+
+
+def read_rate_limit(spark: SparkSession, path: str) -> DataFrame:
+    """user_id, event_id, us, allowed and late of all batches; ``allowed`` is null where a request was late."""
+    rows = spark.read.schema(f"{VERDICTS} boolean").parquet(f"{path}/batch=*")
+    return rows.select(F.col("key").cast("bigint").alias("user_id"), "event_id", "us", F.col("verdict").alias("allowed"), "late")
 
 
 def stream_requests_per_minute(requests: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -105,17 +94,37 @@ def stream_signatures(assets: DataFrame, limits: Limits = NONE) -> DataFrame:
     return scan_signatures(assets, limits=limits)
 
 
-def stream_unique_findings(findings: DataFrame, delay: str = "1 hour", key_chars: int | None = None) -> DataFrame:
-    """Drop findings seen within the delay before (W8). Needs an event time ``ts``.
+SEEN = "source_url string, shown string, description string, ts timestamp"
+
+
+def run_unique_findings(findings: DataFrame, path: str, checkpoint: str, keep: str = "1 hour", key_chars: int | None = None) -> StreamingQuery:
+    """Findings not seen before into ``path`` (W8). Needs an event time ``ts``.
 
-    ``key_chars`` compares only so many characters of the evidence.
+    What has been seen is a table by batch, as in ``run_judged``: a finding that comes late is compared like any other and
+    none is lost. What has not been seen for ``keep`` of event time may be reported again. ``key_chars`` compares
+    only so many characters of the evidence.
     """
-    key = findings.withColumn("_evidence", cut(F.col("evidence"), key_chars))
-    return (
-        key.withWatermark("ts", delay)
-        .dropDuplicatesWithinWatermark(["source_url", "_evidence", "description"])
-        .drop("_evidence")
-    )
+    key = ["source_url", "shown", "description"]
+    keyed = findings.withColumn("shown", cut(F.col("evidence"), key_chars))
+
+    def batch_job(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.createDataFrame([], SEEN) if batch_id == 0 else spark.read.schema(SEEN).parquet(f"{checkpoint}/seen/batch={batch_id - 1}")
+        rows = reliable_checkpoint(batch)
+        # of equal findings of a batch the earliest counts
+        first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("ts"))).filter("place = 1").drop("place")
+        known = F.lit(True)
+        for c in key:
+            known = known & first[c].eqNullSafe(seen[c])
+        first.join(seen, known, "left_anti").drop("shown").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        every = seen.unionByName(rows.select(*key, "ts")).groupBy(*key).agg(F.max("ts").alias("ts"))
+        now = every.agg(F.max("ts")).first()[0]
+        kept = every.filter(F.col("ts") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {keep}")) if now else every
+        kept.select(*key, "ts").write.mode("overwrite").parquet(f"{checkpoint}/seen/batch={batch_id}")
+
+    query = keyed.writeStream.foreachBatch(batch_job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
