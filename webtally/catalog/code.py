@@ -17,7 +17,26 @@ FUNCTION_DECL = r"""(?:^|\s)(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)"""
 FUNCTION_ARROW = r"""(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|(\w+))\s*=>"""
 CLASS_DECL = r"""class\s+(\w+)(?:\s+extends\s+(\w+))?\s*\{"""
 VARIABLE = r"""(?:const|let|var)\s+(\w+)\s*=\s*(.{1,200})"""
-VARIABLE_KEYWORDS = "url api endpoint host server config secret key token password base auth header cookie route path port domain".split()
+VARIABLE_KEYWORDS = [
+    "url",
+    "api",
+    "endpoint",
+    "host",
+    "server",
+    "config",
+    "secret",
+    "key",
+    "token",
+    "password",
+    "base",
+    "auth",
+    "header",
+    "cookie",
+    "route",
+    "path",
+    "port",
+    "domain",
+]
 ES_IMPORT = r"""import\s+(?:\{([^}]+)\}|(\w+))\s+from\s+["']([^"']+)["']"""
 CJS_REQUIRE = r"""(?:const|let|var)\s+(?:\{([^}]+)\}|(\w+))\s*=\s*require\s*\(\s*["']([^"']+)["']\s*\)"""
 EXPORT = r"""export\s+(?:default\s+)?(?:const|let|var|function|class|async\s+function)\s+(\w+)"""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import html
+import zlib
+from html.entities import html5
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
-from .text import let
+from .text import constant, let
 
 # a high and a low surrogate escape, or one escape outside the surrogate range
 _UNICODE_UNIT = (
@@ -115,12 +115,74 @@ def join_string_literals(text: Column) -> Column:
     return F.when(pluses > 0, joined).otherwise(text)
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+# -- entities ------------------------------------------------------------------
+
+# What a reference looks like.
+_REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Buckets of the table of names, so that a lookup compares a few of them.
+_BUCKETS = 512
+_REPLACEMENT = "�"
+
+
+def _name_table() -> list[list[dict]]:
+    """The standard's names (with their semicolon, some also without) by the CRC-32 of the name."""
+    out: list[list[dict]] = [[] for _ in range(_BUCKETS)]
+    for name, text in html5.items():
+        out[zlib.crc32(name.encode()) % _BUCKETS].append({"n": name, "t": text})
+    return out
+
+
+#: Lengths of the names that need no semicolon: these may also begin a longer word. Longest first.
+_OPEN_LENGTHS = sorted({len(n) for n in html5 if not n.endswith(";")}, reverse=True)
+
+
+def _windows_text(code: int) -> str:
+    """What a reference to a C1 control stands for: the character that byte has in Windows-1252, if it has one."""
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(code)
+
+
+def _numeric_reference(reference: Column) -> Column:
+    """``#65;`` or ``#x41`` as text."""
+    hexadecimal = F.lower(F.substring(reference, 2, 1)) == "x"
+    digits = F.regexp_replace(reference, "^#[xX]?0*|;$", "")
+    short = F.when(F.length(digits) <= 8, F.when(digits == "", "0").otherwise(digits))
+    code = F.when(hexadecimal, F.conv(short, 16, 10)).otherwise(short).cast("bigint")
+    controls = constant([_windows_text(c) for c in range(0x80, 0xA0)], "array<string>")
+
+    def text(c: Column) -> Column:
+        nothing = (
+            c.between(0x1, 0x8) | (c == 0xB) | c.between(0xE, 0x1F) | (c == 0x7F) | c.between(0xFDD0, 0xFDEF) | (c.bitwiseAND(0xFFFE) == 0xFFFE)
+        )
+        plain = F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+        return (
+            F.when(c.isNull() | (c == 0) | c.between(0xD800, 0xDFFF) | (c > 0x10FFFF), _REPLACEMENT)
+            .when(c.between(0x80, 0x9F), F.get(controls, (c - 0x80).cast("int"))).when(nothing, "").otherwise(plain)
+        )
+
+    return let(code, text)
+
+
+def _named_reference(reference: Column, table: Column) -> Column:
+    """A name with its semicolon, or the longest name that needs none and begins the reference; else as it is."""
+
+    def known(name: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(F.encode(name, "UTF-8")), F.lit(_BUCKETS)).cast("int"))
+        return F.get(F.filter(bucket, lambda e: e.getField("n") == name), F.lit(0)).getField("t")
+
+    parts = [F.when(F.length(reference) > n, F.concat(known(F.left(reference, F.lit(n))), F.substring(reference, n + 1, 33))) for n in _OPEN_LENGTHS]
+    return F.coalesce(known(reference), *parts, F.concat(F.lit("&"), reference))
 
 
 def unescape_html(text: Column) -> Column:
-    """Decode HTML entities; only texts with an ampersand travel to Python."""
-    has_entity = F.contains(text, F.lit("&"))
-    return F.when(has_entity, _unescape(F.when(has_entity, text))).otherwise(text)
+    """Decode HTML entities by the rules of the HTML standard; a text is cut at its references."""
+    references = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))
+    table = constant(_name_table(), "array<array<struct<n:string,t:string>>>")
+
+    def one(reference: Column) -> Column:
+        numeric = F.when(reference.startswith("#"), _numeric_reference(reference))
+        return F.when(reference.isNotNull(), F.coalesce(numeric, _named_reference(reference, table)))
+
+    return F.when(F.contains(text, F.lit("&")), replace_matches(text, _REFERENCE, references, one)).otherwise(text)

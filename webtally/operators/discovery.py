@@ -193,7 +193,32 @@ def framework_markers(html: Column) -> Column:
 class _TextLengths(HTMLParser):
     """Visible text lengths of the body and of application root elements."""
 
-    VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr basefont bgsound command frame image isindex nextid spacer".split())
+    VOID = frozenset([
+        "area",
+        "base",
+        "br",
+        "col",
+        "embed",
+        "hr",
+        "img",
+        "input",
+        "keygen",
+        "link",
+        "menuitem",
+        "meta",
+        "param",
+        "source",
+        "track",
+        "wbr",
+        "basefont",
+        "bgsound",
+        "command",
+        "frame",
+        "image",
+        "isindex",
+        "nextid",
+        "spacer",
+    ])
     SILENT = frozenset(["script", "style", "template"])
     # Ids, id parts, tags and attributes of application roots.
     ROOT_IDS = frozenset(["root", "app", "__next", "__nuxt"])
