@@ -198,7 +198,7 @@ def test_store(spark, tmp_path):
     assert [r.scan_id for r in store.read_findings(spark, path).collect()] == [1]
     store.delete_scans(scans.where("id = 1"), path)
     assert [r.scan_id for r in store.read_scans(spark, path).collect()] == [2] and store.read_findings(spark, path).isEmpty()
-    kept = spark.read.parquet(f"{path}/findings")
+    kept = spark.read.parquet(f"{path}/generation=0/findings")
     assert all(r.evidence.startswith("aesgcm:") for r in kept.collect())
     header = store.report_counts(found).join(scans.withColumnRenamed("id", "scan_id"), "scan_id")
     lines = store.report_json(header, findings=found)
@@ -206,3 +206,54 @@ def test_store(spark, tmp_path):
     assert report == {"target": "t1", "total_findings": 2, "severity_counts": {"HIGH": 2}, "detector_counts": {"signature": 2}}
     store.write_report(lines, str(tmp_path / "report"))
     assert spark.read.text(str(tmp_path / "report")).count() == 5
+
+
+def test_compaction_keeps_what_counts(spark, tmp_path):
+    """Versions come from the table; compaction drops replaced and deleted rows, and a broken one changes nothing."""
+    path = str(tmp_path / "store")
+    scans = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, target string")
+    found = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (3, "w")], "scan_id long, evidence string")
+    store.write_scan(scans, found, path)
+    store.write_scan(scans.where("id = 1"), found.where("evidence = 'y'"), path)
+    store.delete_scans(scans.where("id = 3"), path)
+    assert sorted(r.version for r in spark.read.parquet(f"{path}/generation=0/scans").collect()) == [1, 1, 1, 2, 3]
+    want = [(1, "y"), (2, "z")]
+    rows = lambda *a: sorted(map(tuple, store.read_findings(spark, path, *a).collect()))
+    assert rows() == want and rows(1) == want[:1] and rows(3) == []
+    found.where("false").write.parquet(f"{path}/generation=1/findings")  # a compaction that broke off
+    assert rows() == want
+    store.compact_scans(spark, path)
+    assert not (tmp_path / "store" / "generation=0").exists()
+    assert rows() == want and spark.read.parquet(f"{path}/generation=1/findings").count() == 2
+    store.write_scan(scans.where("id = 2"), found.where("false"), path)
+    assert rows() == want[:1] and sorted(r.scan_id for r in store.read_scans(spark, path).collect()) == [1, 2]
+    store.delete_scans(scans, path)
+    store.compact_scans(spark, path)
+    assert rows() == [] and store.read_scans(spark, path).isEmpty()
+
+
+def test_reading_one_scan_is_pruned(spark, tmp_path, capsys):
+    path = str(tmp_path / "store")
+    store.write_scan(spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, "x"), (2, "y")], "scan_id long, evidence string"), path)
+    store.read_findings(spark, path, 2).explain()
+    assert "EqualTo(scan_id,2)" in capsys.readouterr().out
+
+
+def test_closure_keeps_edges_and_reached_where_they_lie(spark, monkeypatch):
+    """The tables of the closure are read in their buckets: only the frontier and its links are exchanged."""
+    from webtally.operators import closure
+
+    edges = closure._append(spark.range(200).select(F.col("id").alias("url"), (F.col("id") + 1).alias("link")), "closure_test_edges")
+    reached = closure._append(spark.range(50).select(F.col("id").alias("url")), "closure_test_reached")
+    reached = closure._append(spark.range(60, 80).select(F.col("id").alias("url")), "closure_test_reached")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = spark.range(40, 120).select(F.col("id").alias("url")).join(edges, "url").groupBy(F.col("link").alias("url")).count()
+        left = found.join(reached, "url", "left_anti")
+        assert sorted(r["url"] for r in left.collect()) == [*range(50, 60), *range(80, 121)]
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 or plan.count("Bucketed: true") >= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("closure_test_edges", "closure_test_reached"):
+            spark.sql(f"DROP TABLE {name}")

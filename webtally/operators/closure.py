@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -20,47 +21,55 @@ def stored_pages(pages: DataFrame) -> DataFrame:
 def link_closure(pages: DataFrame, start: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Pages reached from each site's start URLs, at most ``max_pages`` per site if given.
 
-    Pages are taken level by level and by URL within a level. The text of the pages
-    is read once, for the edges. A level joins the frontier (at most ``max_pages``
-    rows per site) with the edges of its pages, so a page everybody links to costs
-    nothing extra, and ends in a reliable checkpoint, so the plan stays small.
+    Pages are taken level by level and by URL within a level. The text of the pages is read once, for the edges between
+    stored pages. Edges and the pages reached so far are tables in buckets of their URL: a level reads them where they
+    lie and moves only its frontier and what that links to. How many pages a site has is carried along in the frontier.
     Returns ``site, url, depth``.
     """
+    spark = pages.sparkSession
+    name = f"webtally_closure_{uuid.uuid4().hex}"
     stored = reliable_checkpoint(stored_pages(pages).select("site", "url").distinct())
-    edges = reliable_checkpoint(
-        page_links(pages.withColumn("url", urls.drop_fragment(F.col("url")))).select("url", "link").distinct()
-    )
-    within = lambda n: F.lit(True) if max_pages is None else n <= max_pages
-    by_url = Window.partitionBy("site").orderBy("url")
+    links = page_links(pages.withColumn("url", urls.drop_fragment(F.col("url")))).select("url", "link").distinct()
+    # a link without a stored page leads nowhere: checked once, not in every level
+    edges = _append(links.join(stored.select(F.col("url").alias("link"), F.col("site").alias("link_site")), "link"), f"{name}_edges")
 
     first = start.select(urls.drop_fragment(F.col("url")).alias("url")).distinct().join(stored, "url")
-    frontier = (
-        first.withColumn("_rn", F.row_number().over(by_url))
-        .where(within(F.col("_rn")))
-        .select("site", "url", F.lit(0).alias("depth"))
-    )
-    frontier = reliable_checkpoint(frontier)
-    reached = frontier
+    frontier = _taken(first.withColumn("used", F.lit(0).cast("bigint")), max_pages)
+    frontier = reliable_checkpoint(frontier.withColumn("depth", F.lit(0)))
+    reached = _append(frontier.select("site", "url", "depth"), f"{name}_reached")
     for depth in count(1) if max_pages is None else range(1, max_pages):
         found = (
-            frontier.join(edges, "url")
-            .select("site", F.col("link").alias("url"))
-            .distinct()
-            .join(reached.select("url"), "url", "left_anti")
-            .join(stored.select("url"), "url", "left_semi")
-        )
-        ranked = found.withColumn("_rn", F.row_number().over(by_url)).where(within(F.col("_rn")))
-        used = reached.groupBy("site").agg(F.count("*").alias("_used"))
-        frontier = reliable_checkpoint(
-            ranked.join(used, "site")
-            .where(within(F.col("_rn") + F.col("_used")))
-            .select("site", "url", F.lit(depth).alias("depth"))
+            frontier.select("url", "used").join(edges, "url")
+            .groupBy(F.col("link").alias("url"), F.col("link_site").alias("site")).agg(F.max("used").alias("used"))
         )
+        new = found.join(reached.select("url"), "url", "left_anti")
+        frontier = reliable_checkpoint(_taken(new, max_pages).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        # a union of checkpoints, one for each level, each already written
-        reached = reached.unionByName(frontier)
-    return reached
+        reached = _append(frontier.select("site", "url", "depth"), f"{name}_reached")
+    result = reliable_checkpoint(reached)
+    for table in ("edges", "reached"):
+        spark.sql(f"DROP TABLE {name}_{table}")
+    return result
+
+
+def _append(df: DataFrame, name: str) -> DataFrame:
+    """The table ``name``, in buckets of ``url``, with the rows of ``df`` added."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, "url").write.mode("append").bucketBy(n, "url").sortBy("url").saveAsTable(name)
+    return spark.table(name)
+
+
+def _taken(found: DataFrame, max_pages: int | None) -> DataFrame:
+    """The pages a site still takes, by URL, and with them how many it has then (``used``)."""
+    if max_pages is None:
+        return found.select("site", "url", F.lit(0).cast("bigint").alias("used"))
+    by_url = Window.partitionBy("site").orderBy("url")
+    ranked = found.withColumn("rank", F.row_number().over(by_url)).where(F.col("rank") <= max_pages)
+    # links between sites bring the count of another site: the largest of the site's own counts
+    taken = ranked.withColumn("used", F.max("used").over(Window.partitionBy("site"))).where(F.col("rank") + F.col("used") <= max_pages)
+    return taken.withColumn("used", F.col("used") + F.count("*").over(Window.partitionBy("site"))).select("site", "url", "used")
 
 
 def closure_static_refs(pages: DataFrame, reached: DataFrame) -> DataFrame:

@@ -269,6 +269,16 @@ def _(spark, sf_dir):
     return link_closure(site, site_starts(site), 20)
 
 
+WHOLE_CLOSURE_SQL = CLOSURE_SQL.replace(" AND depth < 19", "").replace(" QUALIFY row_number() OVER (PARTITION BY site ORDER BY depth, url) <= 20", "")
+
+
+@query("d13_whole_link_closure", WHOLE_CLOSURE_SQL + "SELECT site, url, depth::BIGINT AS depth FROM reached")
+def _(spark, sf_dir):
+    """Everything that links lead to, whatever the number of pages of a site."""
+    site = site_pages(spark, sf_dir)
+    return link_closure(site, site_starts(site))
+
+
 @query(
     "d14_closure_static_refs",
     CLOSURE_SQL + ", " + SITE_REFS_SQL.replace("WITH ", "", 1).replace("site AS", "site_page AS").replace("FROM site)", "FROM site_page)").replace("FROM site\n", "FROM site_page\n").replace("AS form FROM site)", "AS form FROM site_page)")

@@ -197,12 +197,13 @@ def _(spark, sf_dir):
 
 # -- sinks ----------------------------------------------------------------------------------
 
-@query(
-    "s7_write_scan",
+STORED_SQL = (
     "WITH " + DOC_FINDINGS_SQL.replace("WITH ", "", 1)
-    + "SELECT doc_id % 7 AS scan_id, f.asset_id, f.line_number::BIGINT AS line_number, md5(f.evidence) AS evidence_md5 FROM findings f JOIN documents d ON d.doc_id = f.asset_id WHERE doc_id % 7 NOT IN (2, 3)",
+    + "SELECT doc_id % 7 AS scan_id, f.asset_id, f.line_number::BIGINT AS line_number, md5(f.evidence) AS evidence_md5 FROM findings f JOIN documents d ON d.doc_id = f.asset_id WHERE "
 )
-def _(spark, sf_dir):
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
     """Written twice, the second time scan 2 has lost all its findings; scan 3 is deleted."""
     folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
     found = document_findings(spark, sf_dir).withColumn("scan_id", F.col("asset_id") % 7)
@@ -210,7 +211,29 @@ def _(spark, sf_dir):
     store.write_scan(scans, found, folder)
     store.write_scan(scans, found.where("scan_id <> 2"), folder)
     store.delete_scans(scans.where("id = 3"), folder)
-    return store.read_findings(spark, folder).select("scan_id", "asset_id", "line_number", F.md5("evidence").alias("evidence_md5"))
+    return folder
+
+
+def _stored_columns(findings: DataFrame) -> DataFrame:
+    return findings.select("scan_id", "asset_id", "line_number", F.md5("evidence").alias("evidence_md5"))
+
+
+@query("s7_write_scan", STORED_SQL + "doc_id % 7 NOT IN (2, 3)")
+def _(spark, sf_dir):
+    return _stored_columns(store.read_findings(spark, _stored(spark, sf_dir)))
+
+
+@query("s7_compacted_scans", STORED_SQL + "doc_id % 7 NOT IN (2, 3)")
+def _(spark, sf_dir):
+    """What is stored after compaction, replaced and deleted rows included if there were any."""
+    folder = _stored(spark, sf_dir)
+    store.compact_scans(spark, folder)
+    return _stored_columns(spark.read.parquet(f"{folder}/generation=1/findings"))
+
+
+@query("s7_one_scan", STORED_SQL + "doc_id % 7 = 5")
+def _(spark, sf_dir):
+    return _stored_columns(store.read_findings(spark, _stored(spark, sf_dir), 5))
 
 
 @query("s9_append_audit", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")

@@ -32,8 +32,12 @@ def all_matches(rows: str, text: str, pattern: str, groups: list[int], columns:
     return f"SELECT {columns}, generate_subscripts(l1, 1) - 1 AS pos, {outs} FROM (SELECT *, {lists} FROM {rows})"
 
 
-def findings_ctes(assets: str, prefix: str = "", severity: str = "r.severity") -> str:
-    """CTEs ``assets, lines, hits, findings`` of a signature scan; the caller writes WITH."""
+def findings_ctes(assets: str, prefix: str = "", severity: str = "r.severity", whole: bool = False) -> str:
+    """CTEs ``assets, lines, hits, findings`` of a signature scan; the caller writes WITH.
+
+    ``whole`` compares and shows all of the evidence, else the first 100 characters count and 300 are shown.
+    """
+    key, shown = ("g1", "g1") if whole else ("substr(g1, 1, 100)", "CASE WHEN length(g1) > 300 THEN substr(g1, 1, 300) || '...' ELSE g1 END")
     parts = []
     for i, rule in enumerate(RULES, 1):
         pattern = _WITHOUT_LOOKAHEAD.get(rule.name, rule.pattern)
@@ -47,9 +51,9 @@ def findings_ctes(assets: str, prefix: str = "", severity: str = "r.severity") -
 {p}lines AS MATERIALIZED ({LINES_SQL.replace('FROM assets', f'FROM {p}assets')}),
 {p}rules(rule_id, name, severity, category, impact, recommendation) AS (VALUES {rules}),
 {p}hits AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(parts)})
-  QUALIFY row_number() OVER (PARTITION BY asset_id, rule_id, substr(g1, 1, 100) ORDER BY line_no, pos) = 1),
+  QUALIFY row_number() OVER (PARTITION BY asset_id, rule_id, {key} ORDER BY line_no, pos) = 1),
 {p}findings AS MATERIALIZED (SELECT h.asset_id, h.rule_id, {severity} AS severity, r.category, r.name || ' detected' AS description,
-  CASE WHEN length(g1) > 300 THEN substr(g1, 1, 300) || '...' ELSE g1 END AS evidence, r.impact, r.recommendation,
+  {shown} AS evidence, r.impact, r.recommendation,
   a.url AS source_url, a.file_type, h.line_no AS line_number, 'signature' AS detector, h.pos, ({rank(severity)})::BIGINT AS severity_rank
   FROM {p}hits h JOIN {p}rules r USING (rule_id) JOIN {p}assets a USING (asset_id))
 """

@@ -442,18 +442,19 @@ def responses_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 L_ID = "conv_id * 1000 + turn AS asset_id"
+RESPONSE_SQL = """('{"findings": [{"severity": "HIGH", "category": "' || role || '", "description": "d' || turn || '", "evidence": "' || md5(text)
+ || '"}], "api_endpoints": ["GET /m/' || turn || '"], "data_flow_confirmed": [{"source": "s", "sink": "' || md5(text) || '", "exploitable": '
+ || CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END || '}], "summary": "ok ' || role || '"}')"""
 
 
 @query(
     "l3_parse_responses",
-    f"""SELECT {L_ID}, conv_id % 5 NOT IN (0, 1) AS is_raw, CASE WHEN conv_id % 5 IN (0, 1) THEN 'ok ' || role WHEN conv_id % 5 = 2 THEN '{{"findings": [ ' || md5(text)
+    f"""SELECT {L_ID}, conv_id % 5 NOT IN (0, 1) AS is_raw, CASE WHEN conv_id % 5 IN (0, 1) THEN 'ok ' || role WHEN conv_id % 5 = 2 THEN '{{{{"findings": [ ' || md5(text)
  WHEN conv_id % 5 = 3 THEN role END AS summary FROM conversations WHERE conv_id % 5 <> 4
- UNION ALL SELECT {L_ID}, true, NULL FROM conversations WHERE conv_id % 5 = 4""",
+ UNION ALL SELECT {L_ID}, true, {{body}} || ' and ' || {{body}} FROM conversations WHERE conv_id % 5 = 4""".format(body=RESPONSE_SQL),
 )
 def _(spark, sf_dir):
-    parsed = L.parse_responses(responses_table(spark, sf_dir))
-    two = F.expr("asset_id div 1000 % 5 = 4")
-    return parsed.select("asset_id", "is_raw", F.when(~two, F.col("summary")).alias("summary"))
+    return L.parse_responses(responses_table(spark, sf_dir)).select("asset_id", "is_raw", "summary")
 
 
 @query(

@@ -52,6 +52,55 @@ def _(spark, sf_dir):
     return leaky_findings(spark, sf_dir)
 
 
+# Whole evidence: files whose secrets are equal in their first 100 characters, or longer than 300.
+LONG_SQL = """SELECT p_partkey AS asset_id, 'long://' || p_partkey AS url, 'js' AS file_type,
+ 'password = "' || repeat(md5(p_name), 4) || p_partkey || '"' || chr(10) || 'passwd = "' || repeat(md5(p_name), 4) || 'x' || p_partkey || '"' || chr(10)
+ || '// TODO ' || repeat(p_name || ' ', 12) || p_partkey || chr(10) || 'pwd: "' || repeat(md5(p_name), 11) || '"' AS content FROM part"""
+
+
+def long_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.md5("p_name")
+    lines = [
+        F.concat(F.lit('password = "'), F.repeat(digest, F.lit(4)), "p_partkey", F.lit('"')),
+        F.concat(F.lit('passwd = "'), F.repeat(digest, F.lit(4)), F.lit("x"), "p_partkey", F.lit('"')),
+        F.concat(F.lit("// TODO "), F.repeat(F.concat("p_name", F.lit(" ")), F.lit(12)), "p_partkey"),
+        F.concat(F.lit('pwd: "'), F.repeat(digest, F.lit(11)), F.lit('"')),
+    ]
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("asset_id"), F.concat(F.lit("long://"), "p_partkey").alias("url"), F.lit("js").alias("file_type"),
+        F.concat_ws("\n", *lines).alias("content"),
+    )
+
+
+def _whole_ctes(assets: str) -> str:
+    return "WITH " + findings_ctes(assets, whole=True)
+
+
+@query("g1_whole_evidence_long_files", _whole_ctes(LONG_SQL) + f"SELECT {FINDING_COLUMNS} FROM findings")
+def _(spark, sf_dir):
+    return scan_signatures(long_files(spark, sf_dir))
+
+
+@query("g1_whole_evidence_documents", _whole_ctes(DOC_ASSETS_SQL) + f"SELECT {FINDING_COLUMNS} FROM findings")
+def _(spark, sf_dir):
+    return scan_signatures(document_assets(spark, sf_dir))
+
+
+@query("g1_whole_evidence_files", _whole_ctes(LEAKY_SQL) + f"SELECT {FINDING_COLUMNS} FROM findings")
+def _(spark, sf_dir):
+    return scan_signatures(leaky_files(spark, sf_dir))
+
+
+@query(
+    "a2_whole_evidence",
+    _whole_ctes(LONG_SQL) + "SELECT evidence, description, count(*) AS n FROM (SELECT DISTINCT asset_id % 5 AS site, evidence, description FROM findings) GROUP BY ALL",
+)
+def _(spark, sf_dir):
+    """Findings as they are, without any bound on what is compared, counted over groups of files."""
+    found = scan_signatures(long_files(spark, sf_dir)).withColumn("source_url", F.concat(F.lit("site"), F.col("asset_id") % 5))
+    return A.dedupe_findings(found).groupBy("evidence", "description").agg(F.count("*").alias("n"))
+
+
 @query(
     "g2_evidence_cut",
     LEAKY_FINDINGS_SQL + "SELECT asset_id, rule_id, line_number, length(evidence) AS evidence_chars, evidence FROM findings WHERE length(evidence) > 300",
