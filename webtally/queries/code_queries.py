@@ -210,6 +210,27 @@ for _id, _source in (("p2_p3_script_urls", "cdn"), ("p4_banners", "inline_banner
         return dependencies(files(spark, sf_dir), limits=AS_SHOWN).where(F.col("source") == source).select("asset_id", "name", "version")
 
 
+# Bundles: the same files behind more text than the bound on banners.
+_FILLER = "/* filler of a bundle, line by line */\n"
+_BUNDLE_SQL = f"SELECT asset_id, url, file_type, repeat({quote(_FILLER[:-1])} || chr(10), 200) || content AS content FROM ({CODE_SQL})"
+BUNDLE_DEPS_SQL = DEPS_SQL.replace(CODE_SQL, _BUNDLE_SQL, 1).replace(f"substr(content, 1, {AS_SHOWN.banner})", "content")
+
+
+def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_files(spark, sf_dir).withColumn("content", F.concat(F.repeat(F.lit(_FILLER), F.lit(200)), "content"))
+
+
+@query("p2_p8_whole_bundles", BUNDLE_DEPS_SQL + "SELECT asset_id, name, version, source, vulnerable, cve FROM judged")
+def _(spark, sf_dir):
+    """Whole texts are searched: every banner stands behind 7,800 characters."""
+    return dependencies(bundles(spark, sf_dir)).select("asset_id", "name", "version", "source", "vulnerable", "cve")
+
+
+@query("p4_whole_banners", BUNDLE_DEPS_SQL + "SELECT asset_id, name, version FROM judged WHERE source = 'inline_banner'")
+def _(spark, sf_dir):
+    return dependencies(bundles(spark, sf_dir)).where("source = 'inline_banner'").select("asset_id", "name", "version")
+
+
 @query(
     "p9_corpus_dependencies",
     DEPS_SQL + "SELECT name, version, source, vulnerable, cve FROM judged QUALIFY row_number() OVER (PARTITION BY lower(name), version ORDER BY asset_id, src, a, b) = 1",

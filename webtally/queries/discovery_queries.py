@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..catalog.paths import SENSITIVE_PATHS, STATIC_EXTENSIONS, UNFOLLOWED_SUBSTRINGS, UNFOLLOWED_SUFFIXES
@@ -13,7 +15,8 @@ from ..operators.closure import closure_static_refs, link_closure
 from ..operators.endpoints import endpoint_names, endpoint_set, endpoints
 from ..operators.hosts import classify_host
 from ..operators.responses import parse_responses, response_endpoints
-from ..sources.assets import admit_assets, documents_as_assets, pages_as_assets, spread_small
+from ..session import shared_folder
+from ..sources.assets import admit_assets, documents_as_assets, load_requests, pages_as_assets, spread_small
 from .code_queries import ENDPOINT_SQL, files
 from .corpus import quote, table
 from .registry import query
@@ -354,6 +357,22 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TYPE_SQL = "CASE event_type " + " ".join(f"WHEN '{t}' THEN '{r}'" for t, r in TYPES.items()) + " END"
+
+
+@query(
+    "s5_load_requests",
+    f"""SELECT 'https://w' || (user_id % 30) || '.example.com/' AS page_url, {REQUEST_URL} AS url, CASE WHEN event_type = 'purchase' THEN 'post' END AS method,
+ {TYPE_SQL} AS resource_type, {TYPE_SQL} || '/*' AS accept FROM events""",
+)
+def _(spark, sf_dir):
+    """A network log written as JSON lines and read with its schema."""
+    folder = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    headers = F.create_map(F.lit("accept"), F.concat("resource_type", F.lit("/*")))
+    requests(spark, sf_dir).withColumn("headers", headers).write.json(folder)
+    return load_requests(spark, folder).withColumn("accept", F.col("headers")["accept"]).drop("headers")
+
+
 @query(
     "d18_runtime_static_urls",
     f"""SELECT DISTINCT 'https://w' || (user_id % 30) || '.example.com/' AS page_url, {REQUEST_URL} AS target FROM events WHERE event_type <> 'error'

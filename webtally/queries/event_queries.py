@@ -165,6 +165,39 @@ def _(spark, sf_dir):
     return jobs.read_rate_limit(spark, f"{folder}/out")
 
 
+# Windows are emitted once the watermark, ten minutes behind the last event, has passed their end.
+CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query(
+    "w4_requests_per_minute_stream",
+    f"SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n FROM events WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= {CLOSED} GROUP BY ALL",
+)
+def _(spark, sf_dir):
+    events = _stream(spark, sf_dir, "events", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _run(spark, jobs.stream_requests_per_minute(events)).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@query(
+    "w6_audit_counts_stream",
+    f"""SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, event_type AS action, CASE event_type WHEN 'error' THEN 'warn' ELSE 'info' END AS severity, count(*) AS n
+ FROM events WHERE time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE <= {CLOSED} GROUP BY ALL""",
+)
+def _(spark, sf_dir):
+    events = _stream(spark, sf_dir, "events", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _run(spark, jobs.stream_audit_counts(as_audit(events))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "w5_sessions_stream",
+    f"SELECT user_id, start_us, end_us, n FROM ({SESSION_SQL}) WHERE end_us + 3600000000 <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)",
+)
+def _(spark, sf_dir):
+    events = _stream(spark, sf_dir, "events", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = _run(spark, jobs.stream_sessions(events))
+    return closed.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 DOCUMENTS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 STREAM_FINDINGS = "asset_id, rule_id, evidence, line_number"
 
