@@ -250,8 +250,9 @@ def changed_texts():
     return [(i, " ".join(w)) for i, w in enumerate(out)]
 
 
-@pytest.mark.parametrize("small,rounds", [(64, 2), (1, 2), (4, 0)])
-def test_near_duplicates_are_exact(spark, monkeypatch, small, rounds):
+@pytest.mark.parametrize("small,rounds,nearest", [(64, 1, 1), (1, 2, 1), (4, 0, 0), (1, 0, 2)])
+def test_near_duplicates_are_exact(spark, monkeypatch, small, rounds, nearest):
+    monkeypatch.setattr(similar, "NEAREST", nearest)
     monkeypatch.setattr(similar, "SMALL", small)
     monkeypatch.setattr(similar, "ROUNDS", rounds)
     data = changed_texts()

@@ -11,7 +11,7 @@ def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node it is connected with, for every node in ``links`` (``a``, ``b``).
 
     Each round takes the smallest label of the neighbours, then the label of that label, so that distances halve. A round
-    is one written table; the driver sees one count of it.
+    is one written table that also says what each label was; the driver sees whether one has changed.
     """
     ways = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
     edges = written(links.select(F.inline(ways)).distinct(), "edges")
@@ -20,14 +20,13 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         other = labels.select(F.col("node").alias("other"), F.col("label").alias("seen"))
         near = edges.join(other, "other").groupBy("node").agg(F.min("seen").alias("seen"))
-        nearest = labels.join(near, "node").select("node", F.least("label", "seen").alias("label"))
+        nearest = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "seen").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = nearest.join(jump, "label", "left").select("node", F.least("label", "further").alias("label"))
+        moved = nearest.join(jump, "label", "left").select("node", "was", F.least("label", "further").alias("label"))
         moved = written(moved, "labels")
-        before = labels.select("node", F.col("label").alias("was"))
-        ended = moved.join(before, "node").filter("label <> was").isEmpty()
         discarded(labels)
-        if ended:
+        labels = moved.select("node", "label")
+        labels.written_path = moved.written_path
+        if moved.filter("label <> was").isEmpty():
             discarded(edges)
-            return moved
-        labels = moved
+            return labels
