@@ -7,7 +7,7 @@ from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
-from .text import constant, let
+from .text import constant, let, strings
 
 # a high and a low surrogate escape, or one escape outside the surrogate range
 _UNICODE_UNIT = (
@@ -122,13 +122,18 @@ _REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 #: Buckets of the table of names, so that a lookup compares a few of them.
 _BUCKETS = 512
 _REPLACEMENT = "�"
+#: Before a name, and between a name and its text. Neither is in a name or its text.
+_BEFORE, _BETWEEN = "\x02", "\x01"
 
 
-def _name_table() -> list[list[dict]]:
-    """The standard's names (with their semicolon, some also without) by the CRC-32 of the name."""
-    out: list[list[dict]] = [[] for _ in range(_BUCKETS)]
+def _name_table() -> list[str]:
+    """The standard's names (with their semicolon, some also without) and their texts, by the CRC-32 of the name.
+
+    A bucket is one string: plans compare their constants again and again, and strings are compared fastest.
+    """
+    out = [""] * _BUCKETS
     for name, text in html5.items():
-        out[zlib.crc32(name.encode()) % _BUCKETS].append({"n": name, "t": text})
+        out[zlib.crc32(name.encode()) % _BUCKETS] += f"{_BEFORE}{name}{_BETWEEN}{text}"
     return out
 
 
@@ -170,7 +175,9 @@ def _named_reference(reference: Column, table: Column) -> Column:
 
     def known(name: Column) -> Column:
         bucket = F.get(table, F.pmod(F.crc32(F.encode(name, "UTF-8")), F.lit(_BUCKETS)).cast("int"))
-        return F.get(F.filter(bucket, lambda e: e.getField("n") == name), F.lit(0)).getField("t")
+        entry = F.concat(F.lit(_BEFORE), name, F.lit(_BETWEEN))
+        found = F.split_part(F.split_part(bucket, entry, F.lit(2)), F.lit(_BEFORE), F.lit(1))
+        return F.when((found != "") & ~F.contains(name, F.lit(_BETWEEN)), found)
 
     parts = [F.when(F.length(reference) > n, F.concat(known(F.left(reference, F.lit(n))), F.substring(reference, n + 1, 33))) for n in _OPEN_LENGTHS]
     return F.coalesce(known(reference), *parts, F.concat(F.lit("&"), reference))
@@ -179,7 +186,7 @@ def _named_reference(reference: Column, table: Column) -> Column:
 def unescape_html(text: Column) -> Column:
     """Decode HTML entities by the rules of the HTML standard; a text is cut at its references."""
     references = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(1))
-    table = constant(_name_table(), "array<array<struct<n:string,t:string>>>")
+    table = strings(_name_table())
 
     def one(reference: Column) -> Column:
         numeric = F.when(reference.startswith("#"), _numeric_reference(reference))

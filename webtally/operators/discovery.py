@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -56,55 +56,76 @@ def _tagged(values: Column, kind: str) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("ref")))
 
 
-def _explode_refs(pages: DataFrame, refs: Column, unescape: bool) -> DataFrame:
-    rows = explode_structs(
-        pages.select("page_id", "url", F.array_distinct(refs).alias("_refs")), "_refs", "page_id", "url"
-    )
-    return rows.withColumn("ref", unescape_html(F.col("ref"))) if unescape else rows
+def _with_targets(refs: Column, base: Column, target: Callable[[Column, Column], Column] = urls.resolve_url, unescape: bool = False) -> Column:
+    """Different references (kind, ref) with their targets, without repeats; decoding and resolving stay in the row."""
 
+    def one(kind: Column, ref: Column) -> Column:
+        return F.struct(kind.alias("kind"), ref.alias("ref"), target(base, ref).alias("target"))
 
-# -- references --------------------------------------------------------------
+    def located(r: Column) -> Column:
+        return let(unescape_html(r.getField("ref")) if unescape else r.getField("ref"), lambda ref: one(r.getField("kind"), ref))
 
-def html_refs(pages: DataFrame) -> DataFrame:
-    """Attribute references by tag, with their absolute target."""
-    refs = let(
-        visible_markup(F.col("html")),
-        lambda markup: F.concat(*[_tagged(attribute_values(markup, t, a), t) for t, a in REFERENCE_ATTRIBUTES]),
-    )
-    rows = _explode_refs(pages, refs, unescape=True)
-    return rows.withColumn("target", urls.resolve_url(F.col("url"), F.col("ref"))).distinct()
+    return F.array_distinct(F.transform(F.array_distinct(refs), located))
 
 
-def meta_refresh_refs(pages: DataFrame) -> DataFrame:
-    """Target of ``<meta http-equiv="refresh">``."""
+def _explode_refs(pages: DataFrame, refs: Column) -> DataFrame:
+    return explode_structs(pages.select("page_id", "url", refs.alias("_refs")), "_refs", "page_id", "url")
+
+
+# -- references --------------------------------------------------------------
+# The functions of columns give the references of one page as an array: one projection, and no row leaves its page.
+
+def tag_references(markup: Column, url: Column) -> Column:
+    refs = F.concat(*[_tagged(attribute_values(markup, t, a), t) for t, a in REFERENCE_ATTRIBUTES])
+    return _with_targets(refs, url, unescape=True)
 
+
+def refresh_references(markup: Column, url: Column) -> Column:
     def of_tag(a: Column) -> Column:
         content = F.coalesce(attribute(a, "content"), F.lit(""))
         target = F.trim(F.regexp_extract(content, r"(?id)url=(.+)", 1), F.lit("'\""))
         return F.when((attribute(a, "http-equiv") == "refresh") & content.rlike(r"(?id)url=."), target)
 
-    found = let(
-        visible_markup(F.col("html")),
-        lambda markup: F.filter(F.transform(tag_attributes(markup, "meta"), of_tag), lambda r: r.isNotNull()),
-    )
-    rows = _explode_refs(pages, _tagged(found, "meta"), unescape=True)
-    return rows.withColumn("target", urls.resolve_url(F.col("url"), F.col("ref"))).distinct()
+    found = F.filter(F.transform(tag_attributes(markup, "meta"), of_tag), lambda r: r.isNotNull())
+    return _with_targets(_tagged(found, "meta"), url, unescape=True)
+
+
+def quoted_references(html: Column, url: Column) -> Column:
+    def target(base: Column, ref: Column) -> Column:
+        return F.when(ref.startswith("/"), urls.resolve_url(base, ref)).otherwise(ref)
+
+    return _with_targets(_tagged(extract_all(html, dialect.java(code.QUOTED_URL)), "quoted"), url, target)
+
+
+def chunk_references(html: Column, url: Column) -> Column:
+    found = F.concat(*[extract_all(html, dialect.java(p)) for p in code.HTML_CHUNKS])
+    return let(urls.origin(url), lambda root: _with_targets(_tagged(found, "chunk"), root))
+
+
+def with_source_maps(targets: Column) -> Column:
+    """The targets and the ``.map`` sibling of every script among them, without repeats."""
+    scripts = F.filter(targets, lambda t: t.endswith(".js"))
+    return F.array_distinct(F.concat(targets, F.transform(scripts, lambda t: F.concat(t, F.lit(".map")))))
+
+
+def html_refs(pages: DataFrame) -> DataFrame:
+    """Attribute references by tag, with their absolute target, once for each row of ``pages``."""
+    return _explode_refs(pages, let(visible_markup(F.col("html")), lambda m: tag_references(m, F.col("url"))))
+
+
+def meta_refresh_refs(pages: DataFrame) -> DataFrame:
+    """Target of ``<meta http-equiv="refresh">``, once for each row of ``pages``."""
+    return _explode_refs(pages, let(visible_markup(F.col("html")), lambda m: refresh_references(m, F.col("url"))))
 
 
 def quoted_url_refs(pages: DataFrame) -> DataFrame:
     """Quoted absolute URLs and root paths with a suffix, anywhere in the text (D3)."""
-    refs = _tagged(extract_all(F.col("html"), dialect.java(code.QUOTED_URL)), "quoted")
-    rows = _explode_refs(pages, refs, unescape=False)
-    target = F.when(F.col("ref").startswith("/"), urls.resolve_url(F.col("url"), F.col("ref"))).otherwise(F.col("ref"))
-    return rows.withColumn("target", target)
+    return _explode_refs(pages, quoted_references(F.col("html"), F.col("url")))
 
 
 def chunk_refs_html(pages: DataFrame) -> DataFrame:
     """Bundle and chunk names in a page, resolved against the site root."""
-    found = F.concat(*[extract_all(F.col("html"), dialect.java(p)) for p in code.HTML_CHUNKS])
-    rows = _explode_refs(pages, _tagged(found, "chunk"), unescape=False)
-    root = rows.withColumn("_root", urls.origin(F.col("url")))
-    return root.withColumn("target", urls.resolve_url(F.col("_root"), F.col("ref"))).drop("_root")
+    return _explode_refs(pages, chunk_references(F.col("html"), F.col("url")))
 
 
 def chunk_refs_js(assets: DataFrame) -> DataFrame:
@@ -122,19 +143,16 @@ def chunk_refs_js(assets: DataFrame) -> DataFrame:
 
 def source_map_candidates(refs: DataFrame) -> DataFrame:
     """Add the ``.map`` sibling of every script target."""
-    maps = refs.where(F.col("target").endswith(".js")).select(
-        "page_id", F.concat("target", F.lit(".map")).alias("target")
-    )
-    return refs.select("page_id", "target").unionByName(maps).distinct()
+    return refs.select("page_id", F.explode(with_source_maps(F.array("target"))).alias("target")).distinct()
 
 
 def page_refs(pages: DataFrame) -> DataFrame:
-    """All distinct references of a page: tags, refresh, quoted, chunks and source maps."""
-    parts = [f(pages).select("page_id", "target") for f in (html_refs, meta_refresh_refs, quoted_url_refs, chunk_refs_html)]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return source_map_candidates(merged)
+    """All different references of each row of ``pages``: tags, refresh, quoted, chunks and source maps, read in one pass."""
+    html, url = F.col("html"), F.col("url")
+    marked = let(visible_markup(html), lambda m: F.concat(tag_references(m, url), refresh_references(m, url)))
+    refs = F.concat(marked, quoted_references(html, url), chunk_references(html, url))
+    targets = let(F.transform(refs, lambda r: r.getField("target")), with_source_maps)
+    return pages.select("page_id", F.explode_outer(targets).alias("target")).where(F.col("target").isNotNull())
 
 
 def interesting_refs(refs: DataFrame, paths: Sequence[str] = SENSITIVE_PATHS) -> DataFrame:
@@ -157,20 +175,25 @@ def sensitive_path_match(found: DataFrame, paths: Sequence[str] = SENSITIVE_PATH
 # -- links -------------------------------------------------------------------
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Distinct followable links of a page: ``<a href>`` and script navigation."""
-    anchors = let(visible_markup(F.col("html")), lambda markup: _tagged(attribute_values(markup, "a", "href"), "a"))
-    navigation = F.concat(*[extract_all(F.col("html"), dialect.java(p)) for p in code.NAVIGATION])
-    # only attribute values are entity-encoded; script strings are taken as they stand
-    refs = F.concat(anchors, _tagged(navigation, "nav"))
-    rows = _explode_refs(pages, refs, unescape=False)
-    rows = rows.withColumn("ref", F.when(F.col("kind") == "a", unescape_html(F.col("ref"))).otherwise(F.col("ref")))
-    rows = rows.withColumn("_abs", urls.resolve_url(F.col("url"), F.col("ref")))
-    rows = rows.withColumn("link", urls.drop_fragment(F.col("_abs"))).withColumn("_site", urls.netloc(F.col("url")))
-    return (
-        rows.where(urls.should_follow(F.col("link"), F.col("_site")))
-        .select("page_id", "url", "link")
-        .distinct()
+    """Different followable links of each row of ``pages``: ``<a href>`` and script navigation."""
+    anchors = let(
+        visible_markup(F.col("html")),
+        # only attribute values are entity-encoded; script strings are taken as they stand
+        lambda markup: F.transform(F.array_distinct(attribute_values(markup, "a", "href")), unescape_html),
     )
+    refs = F.concat(anchors, *[extract_all(F.col("html"), dialect.java(p)) for p in code.NAVIGATION])
+
+    def followed(site: Column) -> Column:
+        def of(ref: Column) -> Column:
+            return let(
+                urls.resolve_url(F.col("url"), ref),
+                lambda target: let(urls.drop_fragment(target), lambda link: F.when(urls.should_follow(link, site), link)),
+            )
+
+        return F.array_distinct(F.transform(F.array_distinct(refs), of))
+
+    links = let(urls.netloc(F.col("url")), followed)
+    return pages.select("page_id", "url", F.explode_outer(links).alias("link")).where(F.col("link").isNotNull())
 
 
 # -- single-page applications --------------------------------------------------
