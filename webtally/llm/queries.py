@@ -77,6 +77,20 @@ def _(spark, sf_dir):
     )
 
 
+def _ablations_sql() -> str:
+    counts = [
+        f"SELECT '{policy}' AS policy, '{name}' AS rule, count(*) FILTER (failed & {bits} <> 0) AS rejected, count(*) FILTER (failed & {1 << bit} <> 0) AS failed_rule,"
+        f" count(*) FILTER (failed & {bits} = {1 << bit}) AS only_this_rule FROM ledger"
+        for policy, bits in quality.POLICIES.items() for bit, name in enumerate(quality.NAMES) if bits >> bit & 1
+    ]
+    return f"WITH ledger AS MATERIALIZED ({QUALITY_SQL}) " + " UNION ALL ".join(counts)
+
+
+@query("op6_rule_ablations", _ablations_sql())
+def _(spark, sf_dir):
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 @query("op7_sampled_splitters")
 def _(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
