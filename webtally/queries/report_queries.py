@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog.rules import RULES
+from ..limits import Limits
 from ..operators import diff as X
 from ..operators import digest as B
 from ..operators import findings as A
@@ -18,7 +19,7 @@ from ..sources.store import report_counts, report_json
 from .corpus import AS_SHOWN, LEAKY_SQL, leaky_files, table
 from .oracle import findings_ctes, rank
 from .registry import query
-from .signature_queries import LEAKY_FINDINGS_SQL, leaky_findings
+from .signature_queries import LEAKY_FINDINGS_SQL, LONG_SQL, leaky_findings, long_files
 
 # -- suppression: targets are the hosts of the derived files -----------------------
 
@@ -124,19 +125,32 @@ def _(spark, sf_dir):
 
 RERATED = [r._replace(severity="MEDIUM") if r.severity == "LOW" else r for r in RULES]
 REVISED_SQL = f"SELECT asset_id, url, file_type, replace(replace(content, 'example.com', 'example.org'), 'sk_live_', 'sk_old_') AS content FROM ({LEAKY_SQL})"
-KEYED = """SELECT *, substr(coalesce(evidence, ''), 1, 80) AS k_evidence FROM {p}findings
- QUALIFY row_number() OVER (PARTITION BY description, source_url, substr(coalesce(evidence, ''), 1, 80) ORDER BY severity_rank DESC, line_number DESC, evidence DESC) = 1"""
-DIFF_SQL = (
-    "WITH " + findings_ctes(LEAKY_SQL, "old_") + ", "
-    + findings_ctes(REVISED_SQL, "new_", "CASE r.severity WHEN 'LOW' THEN 'MEDIUM' ELSE r.severity END")
-    + f", o AS ({KEYED.format(p='old_')}), n AS ({KEYED.format(p='new_')})"
-    + f""", diff AS (SELECT CASE WHEN o.asset_id IS NULL THEN 'new' WHEN n.asset_id IS NULL THEN 'resolved'
+RERATED_SEVERITY = "CASE r.severity WHEN 'LOW' THEN 'MEDIUM' ELSE r.severity END"
+
+
+def _diff_sql(old: str, new: str, whole: bool = False) -> str:
+    """CTEs up to ``diff``; ``whole`` compares all of the evidence, else its first 80 characters."""
+    evidence = "coalesce(evidence, '')" if whole else "substr(coalesce(evidence, ''), 1, 80)"
+
+    def keyed(prefix: str) -> str:
+        return (
+            f"SELECT *, {evidence} AS k_evidence FROM {prefix}findings QUALIFY row_number() OVER "
+            f"(PARTITION BY description, source_url, {evidence} ORDER BY severity_rank DESC, line_number DESC, evidence DESC) = 1"
+        )
+
+    return (
+        "WITH " + findings_ctes(old, "old_", whole=whole) + ", " + findings_ctes(new, "new_", RERATED_SEVERITY, whole=whole)
+        + f", o AS ({keyed('old_')}), n AS ({keyed('new_')})"
+        + f""", diff AS (SELECT CASE WHEN o.asset_id IS NULL THEN 'new' WHEN n.asset_id IS NULL THEN 'resolved'
  WHEN o.severity <> n.severity THEN 'changed' ELSE 'unchanged' END AS status, o.severity AS old_severity, n.severity AS new_severity,
  coalesce(n.description, o.description) AS description, coalesce(n.source_url, o.source_url) AS source_url,
  coalesce(n.evidence, o.evidence) AS evidence, ({rank('coalesce(n.severity, o.severity)')})::BIGINT AS severity_rank
  FROM o FULL OUTER JOIN n ON o.description = n.description AND o.source_url = n.source_url AND o.k_evidence = n.k_evidence)
 """
-)
+    )
+
+
+DIFF_SQL = _diff_sql(LEAKY_SQL, REVISED_SQL)
 DIFF_COLUMNS = "status, old_severity, new_severity, description, source_url, evidence, severity_rank"
 
 
@@ -184,6 +198,29 @@ def _(spark, sf_dir):
     return X.diff_summary(scan_diff(spark, sf_dir))
 
 
+# Whole evidence: in the revised long files a secret is another one behind its first 100 characters only.
+REVISED_LONG_SQL = f"SELECT asset_id, url, file_type, replace(content, 'x' || asset_id || '\"', 'y' || asset_id || '\"') AS content FROM ({LONG_SQL})"
+WHOLE_DIFF_SQL = _diff_sql(LONG_SQL, REVISED_LONG_SQL, whole=True)
+
+
+def whole_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.concat(F.col("asset_id"), F.lit('"'))
+    revised = F.replace("content", F.concat(F.lit("x"), tail), F.concat(F.lit("y"), tail))
+    old = long_files(spark, sf_dir)
+    return X.diff_findings(scan_signatures(old), scan_signatures(old.withColumn("content", revised), RERATED))
+
+
+@query("x1_whole_keyed_findings", WHOLE_DIFF_SQL + "SELECT description AS k_description, source_url AS k_source_url, k_evidence, severity, line_number, evidence FROM o")
+def _(spark, sf_dir):
+    keyed = X.keyed_findings(scan_signatures(long_files(spark, sf_dir)))
+    return keyed.select(*X.KEY, "f.severity", "f.line_number", "f.evidence")
+
+
+@query("x2_x4_whole_diff", WHOLE_DIFF_SQL + f"SELECT {DIFF_COLUMNS} FROM diff")
+def _(spark, sf_dir):
+    return whole_diff(spark, sf_dir)
+
+
 @query(
     "x8_severity_delta",
     DIFF_SQL + """SELECT severity, coalesce(a.n, 0) AS old, coalesce(b.n, 0) AS new, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta
@@ -408,16 +445,26 @@ def _(spark, sf_dir):
 
 # -- model requests and responses -------------------------------------------------------
 
-@query(
-    "l2_prompts",
-    """SELECT doc_id AS asset_id, 'doc://' || doc_id AS url, 'txt' AS file_type, md5('File: doc://' || doc_id || chr(10) || 'Type: txt' || chr(10) || chr(10)
+def _prompts_sql(content: str) -> str:
+    return f"""SELECT doc_id AS asset_id, 'doc://' || doc_id AS url, 'txt' AS file_type, md5('File: doc://' || doc_id || chr(10) || 'Type: txt' || chr(10) || chr(10)
  || '═══ DETERMINISTIC BRIEFING ═══' || chr(10) || source || chr(10) || '═══ END BRIEFING ═══' || chr(10) || chr(10) || 'File content:' || chr(10) || '```' || chr(10)
- || CASE WHEN length(text) > 15000 THEN substr(text, 1, 15000) || chr(10) || chr(10) || '... [TRUNCATED] ...' ELSE text END || chr(10) || '```') AS prompt_md5 FROM documents""",
-)
-def _(spark, sf_dir):
+ || {content} || chr(10) || '```') AS prompt_md5 FROM documents"""
+
+
+def document_prompts(spark: SparkSession, sf_dir: str, *limits: Limits) -> DataFrame:
     documents = spread_small(table(spark, sf_dir, "documents"))
     briefed = documents_as_assets(documents, F.col("source").alias("briefing"))
-    return prompts(briefed, AS_SHOWN).select("asset_id", "url", "file_type", F.md5("prompt").alias("prompt_md5"))
+    return prompts(briefed, *limits).select("asset_id", "url", "file_type", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("l2_prompts", _prompts_sql("CASE WHEN length(text) > 15000 THEN substr(text, 1, 15000) || chr(10) || chr(10) || '... [TRUNCATED] ...' ELSE text END"))
+def _(spark, sf_dir):
+    return document_prompts(spark, sf_dir, AS_SHOWN)
+
+
+@query("l2_whole_prompts", _prompts_sql("text"))
+def _(spark, sf_dir):
+    return document_prompts(spark, sf_dir)
 
 
 def responses_table(spark: SparkSession, sf_dir: str) -> DataFrame:
