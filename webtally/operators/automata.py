@@ -196,7 +196,8 @@ def _entered(summaries: DataFrame, machine) -> dict[int, State]:
     """The state in which each piece is entered, where it is not a new one; one small row a piece is looked at at a time."""
     entered: dict[int, State] = {}
     before: tuple[str | None, State] | None = None
-    for row in summaries.orderBy("piece").toLocalIterator():
+    # written first: sorting samples its input, which would make every summary twice
+    for row in reliable_checkpoint(summaries).orderBy("piece").toLocalIterator():
         state = row["own"]
         if state is None and before is not None and before[0] == row["first_key"]:
             state = entered[row["piece"]] = before[1]
