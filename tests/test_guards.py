@@ -80,6 +80,64 @@ def test_recent_failures(spark):
     assert got == want
 
 
+@pytest.fixture
+def many_pieces(spark):
+    """Small pieces stay apart, so that a hot key lies in several."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)
+
+
+def hot_hour(n=4000, seed=5):
+    """Nearly all failures under one address within one hour, many at the same time; some have no address or user."""
+    rng = random.Random(seed)
+    rows = [(i, BASE * US + rng.randrange(3600) * US, "10.0.0.1" if i % 20 else None, f"u{i % 3}" if i % 7 else None, i % 11 == 0) for i in range(n)]
+    return rows + [(n, (BASE + 9000) * US, "10.0.0.1", "u1", False)]
+
+
+def test_recent_failures_in_many_pieces_of_a_key(spark, many_pieces):
+    rows = hot_hour()
+    failed = {}
+    for event_id, us, ip, user, success in rows:
+        if not success:
+            for key in (None if ip is None else f"ip:{ip}", None if user is None else f"user:{user}"):
+                failed.setdefault(key, []).append((us, event_id))
+    want = []
+    for key, of in failed.items():
+        times = np.sort([us for us, _ in of])
+        want += [(str(key), e, int(np.searchsorted(times, us, "right") - np.searchsorted(times, us - 300 * US, "right"))) for us, e in of]
+    attempts = attempts_frame(spark, rows)
+    pieces = G.sorted_pieces(G.attempt_keys(attempts), ["key"]).where("key = 'ip:10.0.0.1'")
+    assert pieces.select("_piece").distinct().count() > 1
+    assert pieces.groupBy("us").agg(F.count_distinct("_piece").alias("n")).where("n > 1").count() == 0
+    assert sorted((str(r.key), r.event_id, r.recent) for r in G.recent_failures(attempts).collect()) == sorted(want)
+    assert G.recent_failures(attempts.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("gap", [1, 30])
+def test_sessions_in_many_pieces_of_a_user(spark, many_pieces, gap):
+    rng = random.Random(gap)
+    steps = [1, 20, 60 * gap, 60 * gap + 1, 60 * gap - 1]
+    rows, now = [], BASE
+    for i in range(3000):
+        now += rng.choices(steps, [40, 40, 1, 1, 1])[0]
+        rows.append((i, 1 if i % 4 else (None if i % 8 else 2), now * US))
+    want = {}
+    for user in {u for _, u, _ in rows}:
+        for us in sorted(us for _, u, us in rows if u == user):
+            of = want.setdefault(user, [])
+            if of and us - of[-1][1] <= gap * 60 * US:
+                of[-1][1], of[-1][2] = us, of[-1][2] + 1
+            else:
+                of.append([us, us, 1])
+    got = {}
+    for r in G.sessions(requests_frame(spark, rows), gap).orderBy("start_us").collect():
+        got.setdefault(r.user_id, []).append([r.start_us, r.end_us, r.n])
+    assert got == want and len(want[1]) > 1
+
+
 def request_rows(n=2000, seed=3):
     rng = random.Random(seed)
     now, rows = BASE * US, []
@@ -132,8 +190,8 @@ def test_sessions_edges(spark):
     assert got == [(0, 7199, 3), (10800, 10800, 1)]
 
 
-def test_pause_segments_cross_buckets(spark):
-    """A pause-free run over many buckets is one segment; empty buckets end it."""
+def test_pause_segments_cross_pieces(spark, many_pieces):
+    """A pause-free run over many pieces is one segment."""
     rows = [(i, 1, (BASE + 1800 * i) * US) for i in range(200)] + [(900, 1, (BASE + 1800 * 199 + 90_000) * US)]
     cut = G.pause_segments(requests_frame(spark, rows).withColumn("us", F.unix_micros("ts")), ["user_id"], 3600 * US)
     assert sorted((r.segment // US - BASE, r["count"]) for r in cut.groupBy("segment").count().collect()) == [(0, 200), (1800 * 199 + 90_000, 1)]

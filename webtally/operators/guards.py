@@ -1,15 +1,18 @@
 """Login lockout, rate limits and sessions over event tables (W1–W6, batch).
 
-The state machines (``automata``) run over pieces of sorted events, whatever key
-they belong to. Sessions cut a key's events at pauses within time buckets.
+The state machines (``automata``), trailing counts and sessions run over pieces of
+sorted events, whatever key they belong to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import reliable_checkpoint
 from .automata import Lockout, Rate, judged
 
 SECOND = 1_000_000
@@ -23,24 +26,39 @@ def event_micros(events: DataFrame, column: str = "ts") -> Column:
     return F.unix_micros(F.col(column))
 
 
-# -- cutting at pauses ---------------------------------------------------------
+# -- pieces of sorted rows ------------------------------------------------------
 
-def pause_segments(events: DataFrame, keys: Sequence[str], min_gap: int, bucket: int = HOUR) -> DataFrame:
+def sorted_pieces(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_piece``: rows are ordered by key and ``us`` over the cluster and cut by number, wherever that falls.
+
+    Rows of one key and time share a piece. The table is written, so that a row keeps
+    its piece whatever is computed again. A key with a third of all rows is many pieces.
+    """
+    return reliable_checkpoint(rows.repartitionByRange(*keys, "us").withColumn("_piece", F.spark_partition_id()))
+
+
+def _with_summary(rows: DataFrame, summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each row with the summary of its key and piece; a null key equals itself."""
+    names = {k: f"_of_{k}" for k in [*keys, "_piece"]}
+    other = summaries.withColumnsRenamed(names)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(o)) for k, o in names.items()])
+    return rows.join(other, same).drop(*names.values())
+
+
+def pause_segments(events: DataFrame, keys: Sequence[str], min_gap: int) -> DataFrame:
     """Add ``segment``: the time of the first event after a pause of ``min_gap`` µs or more.
 
-    Expects ``us`` (event time in µs). Windows run within (key, time bucket); what
-    crosses a bucket edge travels in one summary row per bucket. A key with a third
-    of all events is thereby worked on by as many tasks as it has buckets.
+    Expects ``us`` (event time in µs). Windows run within the pieces of a key; what
+    crosses from piece to piece travels in one summary row a piece.
     """
-    cell = [*keys, "_bucket"]
+    cell = [*keys, "_piece"]
     in_cell = Window.partitionBy(*cell).orderBy("us")
     so_far = in_cell.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    over_cells = Window.partitionBy(*keys).orderBy("_bucket")
+    over_cells = Window.partitionBy(*keys).orderBy("_piece")
 
-    # starts that show within a cell; its first event is decided by the cells before
-    events = events.withColumn("_bucket", F.floor(F.col("us") / F.lit(bucket)))
+    # starts that show within a piece; its first event is decided by the pieces before
     gap = F.col("us") - F.lag("us").over(in_cell)
-    marked = events.withColumn("_start", F.when(gap >= min_gap, F.col("us")))
+    marked = sorted_pieces(events, keys).withColumn("_start", F.when(gap >= min_gap, F.col("us")))
     marked = marked.withColumn("_running", F.max("_start").over(so_far))
 
     cells = marked.groupBy(*cell).agg(F.min("us").alias("_first"), F.max("us").alias("_last"), F.max("_start").alias("_own"))
@@ -50,9 +68,9 @@ def pause_segments(events: DataFrame, keys: Sequence[str], min_gap: int, bucket:
     cells = cells.withColumn("_carried", carried).select(*cell, F.coalesce("_head", "_carried").alias("_entry"))
 
     return (
-        marked.join(cells, cell)
+        _with_summary(marked, cells, keys)
         .withColumn("segment", F.coalesce("_running", "_entry"))
-        .drop("_bucket", "_start", "_running", "_entry")
+        .drop("_piece", "_start", "_running", "_entry")
     )
 
 
@@ -80,23 +98,24 @@ def lockouts(attempts: DataFrame, max_attempts: int = 5, window: int = 300, lock
 def recent_failures(attempts: DataFrame, window: int = 300) -> DataFrame:
     """Failures of a key in the trailing window, own failure included.
 
-    The window is open at its old end. Rows near a bucket edge are lent to the next
-    bucket, so the frame never leaves its bucket and hot keys spread over tasks.
+    The window is open at its old end. A failure counts from its time on and ceases to
+    count one window later, so the number is a running sum of both changes: within the
+    pieces of a key, plus what the pieces before add up to. No row is lent to another.
     """
-    span = window * SECOND
-    bucket = max(HOUR, span)
     failures = attempt_keys(attempts).where(~F.col("success"))
-    own = F.floor(F.col("us") / F.lit(bucket))
-    lent = (F.col("us") + span) >= (own + 1) * bucket
-    copies = failures.withColumn("_own", own).withColumn(
-        "_bucket", F.explode(F.when(lent, F.array(own, own + 1)).otherwise(F.array(own)))
-    )
-    frame = Window.partitionBy("key", "_bucket").orderBy("us").rangeBetween(-(span - 1), 0)
-    return (
-        copies.withColumn("recent", F.count("*").over(frame))
-        .where(F.col("_bucket") == F.col("_own"))
-        .select("key", *[c for c in ("event_id",) if c in failures.columns], "us", "recent")
-    )
+    us = F.col("us")
+    begins = F.struct(us.alias("us"), F.lit(1).alias("_change"))
+    ends = F.struct((us + window * SECOND).alias("us"), F.lit(-1).alias("_change"))
+    ids = [c for c in ("event_id",) if c in failures.columns]
+    changes = failures.select("key", *ids, F.explode(F.array(begins, ends)).alias("_at")).select("key", *ids, "_at.*")
+    placed = sorted_pieces(changes, ["key"])
+
+    totals = placed.groupBy("key", "_piece").agg(F.sum("_change").alias("_total"))
+    before = Window.partitionBy("key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("key", "_piece", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carried"))
+    so_far = Window.partitionBy("key", "_piece").orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = placed.withColumn("_here", F.sum("_change").over(so_far)).where("_change = 1")
+    return _with_summary(counted, carried, ["key"]).select("key", *ids, "us", (F.col("_here") + F.col("_carried")).alias("recent"))
 
 
 # -- rate limit (W3, W4) ---------------------------------------------------------
@@ -124,7 +143,7 @@ def requests_per_minute(requests: DataFrame) -> DataFrame:
 def sessions(events: DataFrame, gap_minutes: int = 60) -> DataFrame:
     """Sessions per user; a pause longer than the gap ends one (W5). Input: ``user_id, ts``."""
     timed = events.select("user_id", event_micros(events).alias("us"))
-    cut = pause_segments(timed, ["user_id"], gap_minutes * 60 * SECOND + 1, bucket=24 * HOUR)
+    cut = pause_segments(timed, ["user_id"], gap_minutes * 60 * SECOND + 1)
     return cut.groupBy("user_id", F.col("segment").alias("start_us")).agg(
         F.max("us").alias("end_us"), F.count("*").alias("n")
     )
