@@ -9,8 +9,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # one asset row may hold 2 MB of text and costs CPU, not I/O: small splits
-    "spark.sql.files.maxPartitionBytes": "33554432",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Arrow batches are bounded by bytes as well, since rows carry whole files
     "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
