@@ -257,3 +257,47 @@ def test_closure_keeps_edges_and_reached_where_they_lie(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in ("closure_test_edges", "closure_test_reached"):
             spark.sql(f"DROP TABLE {name}")
+
+
+def test_link_closure_of_long_chains_takes_few_rounds(spark, monkeypatch):
+    from webtally.operators import closure
+
+    n, steps = 60, (1, 4)
+    links = {i: [i + s for s in steps if i + s < n] + [i // 2] for i in range(n)}
+    url = lambda i: f"http://s{i // 25}/{i}"
+    anchors = lambda i: "".join(f"<script>navigate('{url(x)}')</script><a href=\"{url(x)}\">x</a>" for x in links[i])
+    pages = spark.createDataFrame([(i, url(i), f"<body>{anchors(i)}</body>") for i in range(n)], "page_id bigint, url string, html string")
+    rounds = []
+    monkeypatch.setattr(closure, "reliable_checkpoint", lambda df, real=closure.reliable_checkpoint: rounds.append(1) or real(df))
+    # links to other sites are not followed: each site has its own start
+    start = pages.where("page_id IN (0, 25, 50)").select("url")
+    depth, frontier = {0: 0, 25: 0, 50: 0}, [0, 25, 50]
+    while frontier:
+        found = {x: depth[i] + 1 for i in frontier for x in links[i] if x // 25 == i // 25 and x not in depth}
+        depth.update(found)
+        frontier = list(found)
+    assert {r.url: r.depth for r in link_closure(pages, start).collect()} == {url(i): d for i, d in depth.items()}
+    chain = spark.createDataFrame([(i, url(0) + f"/{i}", f'<body><a href="{url(0)}/{i + 1}">x</a></body>') for i in range(n)], "page_id bigint, url string, html string")
+    rounds.clear()
+    assert sorted(r.depth for r in link_closure(chain, chain.where("page_id = 0").select("url")).collect()) == list(range(n))
+    assert len(rounds) < 10
+
+
+def test_link_closure_over_many_pieces(spark):
+    from webtally.operators.closure import _whole
+
+    n = 40
+    url = lambda i: f"http://s{i % 3}/{i}"
+    edges = {(i, j) for i in range(n) for j in (i + 7, i * 3 % n, i // 2) if j < n}
+    depth, frontier = {5: 0, 8: 0}, [5, 8]
+    while frontier:
+        found = {b: depth[a] + 1 for a in frontier for x, b in edges if x == a and b not in depth}
+        depth.update(found)
+        frontier = list(found)
+    stored = spark.createDataFrame([(f"s{i % 3}", url(i)) for i in range(n)], "site string, url string")
+    links = spark.createDataFrame([(url(a), url(b)) for a, b in edges], "url string, link string")
+    for piece in (5, 1000):
+        got = _whole(stored, links, stored.where(stored.url.isin(url(5), url(8))), piece).collect()
+        assert {(r.site, r.url, r.depth) for r in got} == {(f"s{i % 3}", url(i), d) for i, d in depth.items()}
+        assert len(got) == len(depth)
+    assert _whole(stored, links, stored.limit(0), 5).isEmpty()
