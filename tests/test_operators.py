@@ -301,3 +301,30 @@ def test_link_closure_over_many_pieces(spark):
         assert {(r.site, r.url, r.depth) for r in got} == {(f"s{i % 3}", url(i), d) for i, d in depth.items()}
         assert len(got) == len(depth)
     assert _whole(stored, links, stored.limit(0), 5).isEmpty()
+
+
+def test_lines_without_banners_are_left_out_of_the_search(spark):
+    import random
+
+    from webtally.functions.patterns import active_patterns, pattern_matches
+    from webtally.functions.text import let
+    from webtally.operators.dependencies import _BANNERS, banner_lines
+
+    rnd = random.Random(5)
+    pieces = ["* ", "/", "!", "lib", "b.c-d", " ", "\n", "\n\n", "v", "1.2", "1.2.3", "٣.٤", ".", "\t", "\r", " ", "x", "#", "7", "é"]
+    texts = ["".join(rnd.choices(pieces, k=rnd.randint(0, 25))) for _ in range(4000)] + ["* lib \n\n \nv1.2.3\n", "* lib\nnothing\n1.2.3 ", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = lambda c: let(c, lambda text: pattern_matches(active_patterns(_BANNERS, text), F.array(text), 2))
+    rows = df.select("t", found(F.col("t")).alias("whole"), found(banner_lines(F.col("t"))).alias("part")).collect()
+    assert sum(bool(r.whole) for r in rows) > 100
+    assert [r.t for r in rows if r.whole != r.part] == []
+    long = spark.createDataFrame([("/* filler of a bundle */\n" * 300 + " * jQuery v3.6.0\n",)], "t string")
+    assert len(long.select(banner_lines(F.col("t"))).first()[0]) < 1000
+
+
+def test_derived_files_lie_in_a_task_per_core_at_least(spark):
+    from webtally.queries import code_queries, corpus, signature_queries
+
+    cores, sf = spark.sparkContext.defaultParallelism, "/root/testdata/sf0.001"
+    for files in (corpus.leaky_files, corpus.manifest_files, code_queries.bundles, signature_queries.long_files):
+        assert files(spark, sf).rdd.getNumPartitions() >= cores

@@ -18,7 +18,7 @@ from ..operators.responses import parse_responses, response_endpoints
 from ..session import shared_folder
 from ..sources.assets import admit_assets, documents_as_assets, load_requests, pages_as_assets, spread_small
 from .code_queries import ENDPOINT_SQL, files
-from .corpus import quote, table
+from .corpus import quote, spread_rows, table
 from .registry import query
 from .report_queries import responses_table
 
@@ -183,7 +183,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, step in (("@1", 50), ("@2", 150), ("@3", 200), ("@4", 400)):
         nav = F.replace(nav, F.lit(name), (k + step).cast("string"))
     base = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"))
-    return spread_small(base).select(
+    return spread_rows(base).select(
         "page_id", _site_text(F.lit(HOST + "/p/{k}")).alias("url"),
         F.concat(F.lit("<!DOCTYPE html><html><body>"), nav, _site_text(body), F.lit("</body></html>")).alias("html"),
     )
