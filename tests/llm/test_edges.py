@@ -108,3 +108,24 @@ def test_parity_bits_never_part_similar_sets():
         assert may or not similar.similar(one, two)
         parted += not may
     assert parted > 20
+
+
+def test_pipeline_groups_come_from_fingerprints_and_are_decided_on_sets(spark, monkeypatch):
+    import random
+
+    from webtally.llm import similar, stages
+
+    rnd = random.Random(3)
+    words = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    base = [words(300) for _ in range(6)]
+    near = [[*b[:150], "changed", *b[151:]] for b in base]
+    data = [(i, " ".join(t)) for i, t in enumerate([*base, *near, *base[:2]])] + [(90, None), (91, ""), (92, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    proposals, real = [], similar.group_pairs
+    monkeypatch.setattr(similar, "group_pairs", lambda *a: proposals.append(real(*a)) or proposals[-1])
+    kept = {r.doc_id for r in stages.keep_one_of_each_group(spark, docs, "").collect()}
+    assert kept == {0, 1, 2, 3, 4, 5, 90}
+    # what fingerprints propose wrongly is not grouped, what they miss is found on the sets
+    monkeypatch.setattr(simhash, "fingerprint_groups", lambda docs, *a: similar.written(simhash.keyed_rows(docs).select("k_id", "k_text", (simhash.F.col("k_id") % 2).alias("component")), "wrong"))
+    assert {r.doc_id for r in stages.keep_one_of_each_group(spark, docs, "").collect()} == kept
+    assert len(proposals) == 2

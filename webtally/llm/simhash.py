@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NO_ID, keyed_rows, mixed, shuffle_partitions, texts_of, written
+from .common import NO_ID, discarded, keyed_rows, mixed, shuffle_partitions, texts_of, written
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -247,22 +247,30 @@ def grouped(docs: DataFrame, size: int, bits: int, radius: int, keys, id_col: st
     return joined.select("doc_id", "k_id", "k_text", "fp", F.coalesce("component", "node").alias("component"))
 
 
+def fingerprint_groups(docs: DataFrame, size: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``grouped`` for 64-bit fingerprints, exact within the radius."""
+    return written(grouped(docs, size, 64, radius, block_keys(radius, radius + 3, 3), id_col, text_col), "components")
+
+
 def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint and component_id of every row; 64-bit fingerprints, exact within the radius."""
-    rows = written(grouped(docs, size, 64, radius, block_keys(radius, radius + 3, 3), id_col, text_col), "components")
+    rows = fingerprint_groups(docs, size, radius, id_col, text_col)
     first = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(first, "component").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which each group of near duplicates keeps the smallest id.
 
-    Near duplicates have sets of ``size``-word shingles with a Jaccard similarity of 0.8 or more, decided on the sets
-    themselves, not on fingerprints; a group is what such pairs connect.
+    Near duplicates have sets of ``size``-word shingles with a Jaccard similarity of 0.8 or more; a group is what such
+    pairs connect. The operator's groups, of fingerprints that differ in ``radius`` bits or fewer, come first, and each
+    row of them is decided on the sets themselves; then what fingerprints cannot tell is searched for on the sets.
     """
     from .similar import similar_groups  # it uses the shingles of this module
 
-    rows = written(similar_groups(docs, size, id_col, text_col), "groups")
+    near = fingerprint_groups(docs, size, radius, id_col, text_col)
+    rows = written(similar_groups(docs, size, id_col, text_col, near), "groups")
+    discarded(near)
     stays = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k_id", "k_text")).alias("s"))
     stays = stays.select(F.col("s.k_id").alias("id"), F.col("s.k_text").alias("hash"))
     # all columns of the rows travel as one, so that none can have the name of another one here

@@ -8,7 +8,10 @@ than a ninth of their sizes' sum. 256 bits of each row are looked at in the buck
 pairs that are left. Only then a pair is decided on the two whole sets, which are made again from the texts of those rows
 alone. The order comes from a sample; any order gives the same result, a good one gives small buckets.
 
-A dense group would make the square of its size in pairs. So first a few drawn buckets of each row propose only their members
+The groups that SimHash finds come first: each of their rows is decided against the smallest of its group, and what holds is
+one component already. The rest is exact whatever they were.
+
+A dense group would make the square of its size in pairs. So then a few drawn buckets of each row propose only their members
 with one of them, the leader; what these verified links connect is one component. Then each row of a bucket proposes only the
 row of another component that differs from it in the fewest parity bits for its size: a number in proportion to the bucket,
 which ties what a leader missed. Then every pair of different components that passes the bounds is decided. Pairs inside a
@@ -316,20 +319,36 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return ends.select("a", "b", "one", "two").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row key and ``component``, a number shared by the rows that similar pairs connect."""
+def group_pairs(groups: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs of nodes ``a`` < ``b`` with the numbers of their shingles together: each node of a group with its smallest.
+
+    ``groups`` has the component of every row (k_id, k_text), ``marks`` one row of each node.
+    """
+    near = groups.select("k_id", "k_text", "component").distinct().join(marks.select("node", "n", "k_id", "k_text"), ["k_id", "k_text"])
+    least = near.groupBy("component").agg(F.min(F.struct("node", "n")).alias("least"))
+    pairs = near.join(least, "component").where(F.col("node") != F.col("least.node"))
+    return pairs.select(F.col("least.node").alias("a"), F.col("node").alias("b"), (F.col("least.n") + F.col("n")).cast("bigint").alias("n"))
+
+
+def similar_groups(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
+    """doc_id, row key and ``component``, a number shared by the rows that similar pairs connect.
+
+    ``groups`` proposes what is decided first: the rows (k_id, k_text) of a ``component`` of another method, as SimHash.
+    """
     levels = shingle_levels(docs, size, id_col, text_col)
     rows = written(_row_nodes(docs, size, levels, id_col, text_col), "shingles")
     dealt = written(buckets(rows.select("node", "n", "prefix").dropDuplicates(["node"])), "buckets")
     places = rows.groupBy("node").agg(F.min(F.struct("k_id", "k_text")).alias("s"))
     places = places.join(dealt.select("node").distinct(), "node").select("node", "s.k_id", "s.k_text")
-    marks = rows.select("node", "k_id", "k_text", "bits", "short").join(places, ["node", "k_id", "k_text"]).dropDuplicates(["node"])
+    marks = rows.select("node", "n", "k_id", "k_text", "bits", "short").join(places, ["node", "k_id", "k_text"]).dropDuplicates(["node"])
     marks = written(marks, "marks")
     shorts = marks.select("node", "short")
     found, labels = None, None
     rounds = [(lambda *columns, salt=salt: leader_pairs(*columns, salt), salt) for salt in range(ROUNDS)]
-    for pairs, turn in [*rounds, *[(nearest_pairs, None)] * NEAREST, (all_pairs, None)]:
-        left = written(filtered(proposed(dealt, shorts, labels, pairs, turn), marks), "pairs")
+    given = [] if groups is None else [(None, None)]
+    for pairs, turn in [*given, *rounds, *[(nearest_pairs, None)] * NEAREST, (all_pairs, None)]:
+        candidates = group_pairs(groups, marks) if pairs is None else proposed(dealt, shorts, labels, pairs, turn)
+        left = written(filtered(candidates, marks), "pairs")
         if labels is not None and left.isEmpty():
             discarded(left)
             continue
