@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from webtally.limits import Limits
 from webtally.operators import briefing as L
 from webtally.operators import discovery as D
+from webtally.operators import diff as X
 from webtally.operators import findings as A
 from webtally.operators.closure import link_closure
 from webtally.operators.dataflow import sinks_sources
@@ -328,3 +329,32 @@ def test_derived_files_lie_in_a_task_per_core_at_least(spark):
     cores, sf = spark.sparkContext.defaultParallelism, "/root/testdata/sf0.001"
     for files in (corpus.leaky_files, corpus.manifest_files, code_queries.bundles, signature_queries.long_files):
         assert files(spark, sf).rdd.getNumPartitions() >= cores
+
+
+def test_large_bases_lie_in_tasks_of_bounded_rows(spark, tmp_path):
+    """Rows decide, not stored bytes: a base that compresses well has as many tasks."""
+    from webtally.queries.corpus import SPREAD_ROWS, spread_rows
+
+    rows = 12 * SPREAD_ROWS
+    spark.range(rows).select("id", F.lit("same word").alias("w")).write.parquet(f"{tmp_path}/base")
+    assert spread_rows(spark.read.parquet(f"{tmp_path}/base")).rdd.getNumPartitions() >= 12
+
+
+FINDING_ROWS = [
+    ("LOW", "d", None, "u", 1, "x"), ("LOW", "d", "", "u", 2, "x"), ("HIGH", "d", "e" * 200 + "1", "u", 3, "x"), ("HIGH", "d", "e" * 200 + "2", "u", None, "x"),
+    ("LOW", None, "e", None, 4, "signature"), ("LOW", "", "e", "", 5, "y"), ("INFO", "d", "f", "u", 6, None), ("HIGH", "d", "f", "u", 7, None), ("HIGH", "d", "f", "u", 8, "z"),
+]
+FINDING_DDL = "severity string, description string, evidence string, source_url string, line_number int, detector string"
+
+
+def test_keyed_findings_sort_their_texts_once(spark):
+    found = spark.createDataFrame(FINDING_ROWS, FINDING_DDL)
+    whole = X.keyed_findings(found)
+    assert {(tuple(r)[:3], tuple(r.f)) for r in whole.collect()} == {
+        (("d", "u", ""), ("LOW", "d", "", "u", 2, "x")), (("", "", "e"), ("LOW", "", "e", "", 5, "y")), (("d", "u", "f"), ("INFO", "d", "f", "u", 6, None)),
+        (("d", "u", "e" * 200 + "1"), ("HIGH", "d", "e" * 200 + "1", "u", 3, "x")), (("d", "u", "e" * 200 + "2"), ("HIGH", "d", "e" * 200 + "2", "u", None, "x")),
+    }
+    short = {r.k_evidence: r.f.evidence for r in X.keyed_findings(found, 100).collect()}
+    assert short == {"": "", "e": "e", "f": "f", "e" * 100: "e" * 200 + "1"}
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(evidence" in plan and "max_by" not in plan
