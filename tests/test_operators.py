@@ -358,3 +358,13 @@ def test_keyed_findings_sort_their_texts_once(spark):
     assert short == {"": "", "e": "e", "f": "f", "e" * 100: "e" * 200 + "1"}
     plan = whole._jdf.queryExecution().optimizedPlan().toString()
     assert "isnull(evidence" in plan and "max_by" not in plan
+
+
+def test_dedupe_sorts_whole_evidence_once(spark):
+    found = spark.createDataFrame(FINDING_ROWS, FINDING_DDL)
+    whole = A.dedupe_findings(found)
+    assert whole.columns == found.columns
+    assert {tuple(r) for r in whole.collect()} == {FINDING_ROWS[i] for i in (0, 2, 3, 4, 6)}
+    assert {tuple(r) for r in A.dedupe_findings(found, key_chars=100).collect()} == {FINDING_ROWS[i] for i in (0, 3, 4, 6)}
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit [source_url#" in plan
