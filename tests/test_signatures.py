@@ -3,8 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from webtally.catalog.rules import RULES, Rule
+from webtally.functions.patterns import LinePattern, active_patterns, pattern_matches
+from webtally.functions.text import let
 from webtally.operators.signatures import ANCHORS, scan_signatures
 from webtally.queries.corpus import AS_SHOWN, SIGNATURE_LINES
 
@@ -92,3 +95,16 @@ def test_long_runs_are_read_once(spark):
     blob = "ab" * 1_000_000
     rows = scan_signatures(assets(spark, [f"x = {blob};\nme@example.com"])).collect()
     assert [(r.evidence, r.line_number) for r in rows] == [("me@example.com", 2)]
+
+
+def test_lines_without_anchors_are_not_matched(spark):
+    """Only the second line holds the anchor; the first would be a match of the pattern."""
+    patterns = [LinePattern(r"(\w+)", (1,), (("key",),))]
+    df = spark.createDataFrame([("plain\nkey",)], "t string")
+    found = lambda searched: let(
+        F.struct(F.split("t", "\n").alias("lines"), searched.alias("searched")),
+        lambda p: pattern_matches(active_patterns(patterns, F.lit("key")), p.getField("lines"), 1, p.getField("searched")),
+    )
+    row = df.select(found(F.split("t", "\n")).alias("tried"), found(F.lit(None).cast("array<string>")).alias("every")).first()
+    assert [(m.line, m.g1) for m in row.tried] == [(2, "key")]
+    assert [(m.line, m.g1) for m in row.every] == [(1, "plain"), (2, "key")]
