@@ -134,6 +134,15 @@ def test_sensitive_paths(spark):
     assert [r.path for r in D.sensitive_path_match(found, exact=True).collect()] == ["/info.php"]
 
 
+def test_a_target_is_resolved_once_for_all_paths(spark):
+    """The target is an expression; bound, it stands in the filter once and not in the search of each path."""
+    found = spark.createDataFrame([("a/", "x.json"), ("a/", "x.png"), ("a", "/.git/config"), (None, "x")], "u string, v string")
+    refs = D.interesting_refs(found.select(F.concat("u", "v").alias("target")))
+    assert sorted(r.target for r in refs.collect()) == ["a/.git/config", "a/x.json"]
+    condition = next(x for x in refs._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x)
+    assert condition.count("concat(") == 1
+
+
 def test_hosts(spark):
     edges = {"9.255.255.255": True, "10.0.0.0": False, "10.255.255.255": False, "11.0.0.0": True, "172.15.255.255": True, "172.31.255.255": False, "192.169.0.0": True,
              "198.17.255.255": True, "198.18.0.0": False, "198.20.0.0": True, "100.63.255.255": True, "100.64.0.0": False, "a.localhost": False, "notlocalhost": True, "1.2.3": True}

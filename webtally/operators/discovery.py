@@ -157,8 +157,12 @@ def page_refs(pages: DataFrame) -> DataFrame:
 
 def interesting_refs(refs: DataFrame, paths: Sequence[str] = SENSITIVE_PATHS) -> DataFrame:
     """References to text assets or to a sensitive path."""
-    url = F.col("target")
-    return refs.where(urls.has_static_suffix(url) | F.exists(strings(paths), lambda p: F.contains(url, p)))
+
+    # bound, or a target that is itself an expression would be computed again for every path
+    def interesting(url: Column) -> Column:
+        return urls.has_static_suffix(url) | F.exists(strings(paths), lambda p: F.contains(url, p))
+
+    return refs.where(let(F.col("target"), interesting))
 
 
 def sensitive_path_match(found: DataFrame, paths: Sequence[str] = SENSITIVE_PATHS, exact: bool = False) -> DataFrame:
