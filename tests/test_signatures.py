@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webtally.catalog.rules import RULES, Rule
+from webtally.functions import patterns as matching
 from webtally.functions.patterns import LinePattern, active_patterns, pattern_matches
 from webtally.functions.text import let
 from webtally.operators.signatures import ANCHORS, scan_signatures
@@ -97,6 +98,17 @@ def test_long_runs_are_read_once(spark):
     assert [(r.evidence, r.line_number) for r in rows] == [("me@example.com", 2)]
 
 
+def test_patterns_are_compiled_outside_of_the_rows(spark, monkeypatch):
+    """Rules are no data of the plan, and texts searched together stay apart: equal evidence, line numbers, missing texts."""
+    monkeypatch.setattr(matching, "_TOGETHER", 40)
+    texts = ["x\npassword = 'abcd'", None, "", "password = 'abcd'\npassword = 'abcd'\n", "İ\nPAS\u017fWORD = 'wxyz'", "\n\na@b.com,a@b.com c@d.org"] * 3
+    found = scan_signatures(assets(spark, texts).coalesce(1), limits=AS_SHOWN).select(*COLUMNS)
+    want = [row for i, text in enumerate(texts) if text is not None for row in brute_force(i, text)]
+    assert len(want) == 15 and sorted(map(tuple, found.collect())) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
+
+
 def test_lines_without_anchors_are_not_matched(spark):
     """Only the second line holds the anchor; the first would be a match of the pattern."""
     patterns = [LinePattern(r"(\w+)", (1,), (("key",),))]
