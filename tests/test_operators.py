@@ -242,6 +242,20 @@ def test_compaction_keeps_what_counts(spark, tmp_path):
     assert rows() == [] and store.read_scans(spark, path).isEmpty()
 
 
+def test_documents_are_scanned_once_for_both_writes(spark, tmp_path, monkeypatch):
+    from webtally.queries import event_queries as E
+    from webtally.queries.registry import QUERIES
+
+    seen = spark.sparkContext.accumulator(0)
+    spark.range(20).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    counted = F.udf(lambda k: (seen.add(1), k)[1], "bigint")
+    found = spark.range(20).select(F.col("id").alias("asset_id"), counted("id").alias("line_number"), F.lit("e").alias("evidence"))
+    monkeypatch.setattr(E, "document_findings", lambda *_: found)
+    kept = QUERIES["s7_compacted_scans"](spark, str(tmp_path))
+    assert sorted(r.asset_id for r in kept.collect()) == [k for k in range(20) if k % 7 not in (2, 3)]
+    assert seen.value == 20
+
+
 def test_reading_one_scan_is_pruned(spark, tmp_path, capsys):
     path = str(tmp_path / "store")
     store.write_scan(spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, "x"), (2, "y")], "scan_id long, evidence string"), path)
@@ -356,6 +370,18 @@ FINDING_ROWS = [
 FINDING_DDL = "severity string, description string, evidence string, source_url string, line_number int, detector string"
 
 
+def test_keyed_findings_are_sorted_by_a_hash_first(spark):
+    rows = [finding(), finding(severity="LOW"), finding(evidence=None), finding(evidence=""), finding(description=None)]
+    old = findings(spark, *rows)
+    keyed = X.keyed_findings(old)
+    assert keyed.columns == [*X.KEY, "f"] and sorted(r.f.severity for r in keyed.collect()) == ["HIGH", "HIGH", "LOW"]
+    diff = X.diff_findings(old, findings(spark, finding()))
+    assert sorted(r.status for r in diff.collect()) == ["changed", "resolved", "resolved"]
+    plan = diff._jdf.queryExecution().sparkPlan().toString()
+    join = next(x for x in plan.split("\n") if "SortMergeJoin" in x)
+    assert join.split("[")[1].startswith("k_hash")
+
+
 def test_keyed_findings_sort_their_texts_once(spark):
     found = spark.createDataFrame(FINDING_ROWS, FINDING_DDL)
     whole = X.keyed_findings(found)
