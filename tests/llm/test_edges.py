@@ -1,12 +1,13 @@
-"""Names in full, repeated rows and columns that clash."""
+"""Names in full, repeated rows, columns that clash and the shortest string that op1 removes."""
 
+import hashlib
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webtally.llm import decontaminate, pii, sharding, similar, simhash, stages
+from webtally.llm import decontaminate, pii, queries, sharding, similar, simhash, stages
 
 NAMES = [
     "Mr. John Smith and Mr. Smith met John Smith", "Mrs. Anna Maria Schmidt came", "Mr. McDonald and McDonald", "Herr Müller-Schmidt ging",
@@ -55,6 +56,17 @@ def test_op3_given_names_do_not_run_out(spark):
     assert len(set(out)) == len(data) and {p for n in out for p in n.split("-")} <= set(pii.GIVEN["latin_f"])
 
 
+def test_op1_removes_400_bytes_and_none_shorter(spark, tmp_path):
+    passage = " ".join(f"w{i:05d}" for i in range(57)) + "xy"
+    assert len(passage) == 400 and len(passage.split()) > 50
+    short = passage[:399].upper()  # a passage of over 50 words that repeats, one byte too short
+    data = [(1, f"A{passage}B"), (2, f"C{passage}D"), (3, f"E{short}F"), (4, f"G{short}H")]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op1_run_length_index"](spark, str(tmp_path)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (402, 400, 1, sha("AB")), 2: (402, 400, 1, sha("CD")), 3: (401, 0, 0, sha(data[2][1])), 4: (401, 0, 0, sha(data[3][1]))}
+
+
 @pytest.mark.parametrize("same_id", [True, False])
 def test_op7_divides_equal_rows(spark, same_id):
     data = spark.range(20_000).select((F.lit(1) if same_id else F.col("id")).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
